@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators import schema_drift
 from tallyforge.operators.column_profile import ColumnRule, findings, footers, load_profile, value_counts
+from tallyforge.session import table
 
 FUND_FORM = r"\A[0-9]{4} - [A-Z][A-Za-z ]*[A-Za-z]\z"
 LEDGER_RULES = [
@@ -15,6 +17,16 @@ LEDGER_RULES = [
 SALARY_RULES = [ColumnRule("CalYear", missing_rise=0.1003, low=2000, distinct_factor=1.503)]
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """Every change of fields from file to file of each feed."""
+    return schema_drift.changes(table(spark, base, "ledger_files")).select("feed", "file_name", "change", "field_from", "field_to").distinct()
+
+
+def p2_ledger(spark: SparkSession, base: str) -> DataFrame:
+    """All yearly files as one consistent ledger."""
+    return schema_drift.unify(table(spark, base, "ledger_files"), ["raw_id", "feed", "file_seq", "line_no"])
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     """Loads in which a profiled column goes wrong or changes."""
     a = findings(spark, f"{base}/expenditures.parquet", "expenditures", LEDGER_RULES)
@@ -81,5 +93,5 @@ P4_FOOTERS_SQL = " UNION ALL ".join(
     for t, c in (("expenditures", "load_id"), ("expenditures", "fiscal_year"), ("salary_data", "load_id"), ("salary_data", "CalYear"))
 )
 
-QUERIES = {"p4_found": p4_found, "p4_profile": p4_profile, "p4_footers": p4_footers}
+QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p4_found": p4_found, "p4_profile": p4_profile, "p4_footers": p4_footers}
 ORACLES = {"p4_found": P4_FOUND_SQL, "p4_profile": P4_PROFILE_SQL, "p4_footers": P4_FOOTERS_SQL}
