@@ -414,7 +414,7 @@ LEDGER = (
     Target("invoice_amount", ("invoice_amount", "invoice_total"), ("money", "int"), "double"),
     Target("invoice_number", ("invoice_number", "invoice_id", "invoice_no"), ("code", "int"), "string"),
     Target("payee", ("payee", "vendor_name", "supplier_name"), ("text",), "string"),
-    Target("agency", ("agency_name", "department_description"), ("text",), "string"),
+    Target("agency", ("agency_name", "agency", "dept", "dept_desc", "department_description"), ("text",), "string"),
     Target("payment_date", ("payment_date", "check_date", "record_date", "paid_on"), ("date",), "date"),
 )
 
