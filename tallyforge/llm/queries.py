@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.llm import residue
 from tallyforge.llm.tokenize import encode_corpus
 from tallyforge.session import table
 
@@ -13,5 +14,15 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_corpus(table(spark, base, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with template residue, filler, error messages or script notices in place of content."""
+    return residue.residue(table(spark, base, "documents"))
+
+
+def p8_evidence(spark: SparkSession, base: str) -> DataFrame:
+    """What was found in each of these documents, with copies and hosts of low-information bodies."""
+    return residue.evidence(table(spark, base, "documents")).where("hit")
+
+
+QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_evidence": p8_evidence}
 ORACLES: dict[str, str] = {}
