@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import residue
+from tallyforge.llm import leakage, residue
 from tallyforge.llm.tokenize import encode_corpus
 from tallyforge.session import table
 
@@ -14,6 +14,16 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_corpus(table(spark, base, "documents"))
 
 
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with the evaluation items that they repeat."""
+    return leakage.leaks(table(spark, base, "documents"), table(spark, base, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, base: str) -> DataFrame:
+    """These documents without the leaked spans."""
+    return leakage.without_leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
+
+
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents with template residue, filler, error messages or script notices in place of content."""
     return residue.residue(table(spark, base, "documents"))
@@ -24,5 +34,5 @@ def p8_evidence(spark: SparkSession, base: str) -> DataFrame:
     return residue.evidence(table(spark, base, "documents")).where("hit")
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_evidence": p8_evidence}
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_evidence": p8_evidence}
 ORACLES: dict[str, str] = {}
