@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import leakage, residue
+from tallyforge.llm import canonical, leakage, residue
 from tallyforge.llm.tokenize import encode_corpus
 from tallyforge.session import table
 
 
+def _agencies(spark: SparkSession, base: str) -> DataFrame:
+    return canonical.map_values(table(spark, base, "agency_map"), id_col="map_id", group_col="city", value_col="source", entry_col="canonical")
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """The listed agency of every unmapped spelling, and the chain of every line that pays one."""
+    a = _agencies(spark, base).select(F.lit("agency").alias("field"), F.col("map_id").cast("long").alias("row_id"), "canonical")
+    p = canonical.label_chains(table(spark, base, "expenditures"), table(spark, base, "payee_prefix_map"), id_col="line_id", value_col="payee")
+    return a.unionByName(p.select(F.lit("payee").alias("field"), F.col("line_id").cast("long").alias("row_id"), "canonical"))
+
+
+def p1_scores(spark: SparkSession, base: str) -> DataFrame:
+    """Each unmapped agency spelling with its entry and score; unmatched ones are reported without a score."""
+    return _agencies(spark, base)
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, base, "documents"))
@@ -34,5 +51,5 @@ def p8_evidence(spark: SparkSession, base: str) -> DataFrame:
     return residue.evidence(table(spark, base, "documents")).where("hit")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_evidence": p8_evidence}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_evidence": p8_evidence}
 ORACLES: dict[str, str] = {}
