@@ -208,7 +208,7 @@ def map_values(table: DataFrame, *, id_col: str, group_col: str, value_col: str,
     )
     t = t.join(sizes, "g")
     known = t.where("entry IS NOT NULL").select("g", "value", "entry", F.expr("pmod(xxhash64(entry), shards)").cast("int").alias("shard"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
-    asked = t.where("entry IS NULL").select(F.col("g").alias("ag"), "id", "value", F.explode(F.expr("sequence(0, shards - 1)")).alias("ashard"), F.expr("pmod(xxhash64(id), salts)").cast("int").alias("asalt"))
+    asked = t.where("entry IS NULL").select(F.col("g").alias("ag"), F.col("id").alias("aid"), F.col("value").alias("avalue"), F.explode(F.expr("sequence(0, shards - 1)")).alias("ashard"), F.expr("pmod(xxhash64(id), salts)").cast("int").alias("asalt"))
     kind = table.schema[id_col].dataType.simpleString()
 
     def search(key, refs, values):
@@ -218,7 +218,7 @@ def map_values(table: DataFrame, *, id_col: str, group_col: str, value_col: str,
         if len(refs) and len(values):
             canon = Canon(list(refs["entry"]), [(s, e) for s, e in zip(refs["value"], refs["entry"]) if isinstance(s, str)], key[0])
             known_hits: dict = {}
-            for i, v in zip(values["id"], values["value"]):
+            for i, v in zip(values["aid"], values["avalue"]):
                 if v not in known_hits:
                     known_hits[v] = canon.hits(v)
                 rows += [(i, e, s) for e, s in known_hits[v]]
