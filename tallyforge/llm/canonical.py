@@ -28,7 +28,7 @@ KIND_BEFORE = ("department", "dept", "dpt", "office", "off", "division", "div",
 KIND_BEHIND = ("department", "dept", "dpt", "division", "div", "office")
 KIND_LAST = ("commission", "authority", "board", "bureau", "network", "district", "trust", "company", "partnership", "administrator", "office", "department", "agency", "division", "council")
 #: Short forms that no rule makes from the word (fixed values).
-SHORT_FORMS = {"svc": "services", "svcs": "services", "srvcs": "services", "nbhd": "neighborhood", "nbrhd": "neighborhood", "ofc": "office", "st": "street", "hwy": "highway", "mgmt": "management", "govt": "government", "bldg": "building", "xfer": "transfer"}
+SHORT_FORMS = {"svc": "services", "svcs": "services", "srvcs": "services", "nbhd": "neighborhood", "nbrhd": "neighborhood", "neighbrhd": "neighborhood", "ofc": "office", "st": "street", "hwy": "highway", "mgmt": "management", "govt": "government", "bldg": "building", "xfer": "transfer"}
 #: Values that name nothing (fixed values).
 NOTHING = ("", "na", "none", "null", "unknown", "misc", "miscellaneous", "various", "tbd", "tbdbyclerk", "seememo", "other", "test", "pending", "blank", "x", "xx", "xxx", "notapplicable", "notstated", "unassigned")
 
@@ -97,7 +97,7 @@ def core_words(text: str, group: str | None = None) -> list[str]:
     if m := re.match(r"^\s*([^,]+?)\s*,\s*([^,]+?)\s*$", t):
         t = f"{m[2]} {m[1]}"
     w = [SHORT_FORMS.get(x, x) for x in words_of(t)]
-    if len(w) > 2 and w[1] == "of" and any(edits(w[0], x, 2) <= 2 for x in ("department", "office", "division")):
+    if len(w) > 2 and w[1] == "of" and any(edits(w[0], x, 2) <= (2 if len(x) > 5 else 1) for x in ("department", "office", "division", "board")):
         w = w[2:]
     if len(w) > 1 and len(w[-1]) > 6 and edits(w[-1], "department", 2) <= 2:
         w = w[:-1]
@@ -181,6 +181,8 @@ class Canon:
             best[k] = min(score, best.get(k, score))
 
         letters = re.sub(r"[^a-z]", "", fold(value))
+        if letters in NOTHING:
+            return []
         if len(letters) <= 6 and " " not in fold(value).strip():
             for k in self.short.get(letters, ()):
                 note(k, 0.05)
