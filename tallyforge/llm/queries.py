@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import canonical, leakage, residue, variants
+from tallyforge.llm import canonical, leakage, linkage, residue, variants
 from tallyforge.llm.tokenize import encode_corpus
 from tallyforge.session import table
 
@@ -26,6 +26,16 @@ def p1_scores(spark: SparkSession, base: str) -> DataFrame:
     return _agencies(spark, base)
 
 
+def p3_matches(spark: SparkSession, base: str) -> DataFrame:
+    """Every payee with the licences of its firm and a calibrated confidence."""
+    return linkage.firm_licences(table(spark, base, "expenditures"), table(spark, base, "active_contractors"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """The same pairs without the confidence."""
+    return p3_matches(spark, base).select("payee_canonical", "licenseno")
+
+
 def _payee_variants(spark: SparkSession, base: str) -> DataFrame:
     payees = table(spark, base, "expenditures").select(F.lit("").alias("g"), F.col("payee").alias("v"))
     return variants.clusters(payees, "payee", chains=table(spark, base, "payee_prefix_map"))
@@ -77,5 +87,5 @@ def p8_evidence(spark: SparkSession, base: str) -> DataFrame:
     return residue.evidence(table(spark, base, "documents")).where("hit")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_evidence": p8_evidence}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_evidence": p8_evidence}
 ORACLES: dict[str, str] = {}
