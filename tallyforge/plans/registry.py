@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import problems
+from tallyforge.plans import ledger, problems
 
-MODULES = [problems]
+MODULES = [ledger, problems]
 
 
 def queries() -> dict:
