@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import ledger, problems
+from tallyforge.plans import corpus, ledger, problems
 
-MODULES = [ledger, problems]
+MODULES = [ledger, corpus, problems]
 
 
 def queries() -> dict:
