@@ -118,21 +118,26 @@ def payee_profiles(spark, base):
 
 
 def profiles(e: DataFrame) -> DataFrame:
-    """Ten measures of every paid payee."""
-    return (
-        e.where("extended_amount > 0 AND payee_canonical IS NOT NULL")
-        .groupBy(F.col("payee_canonical").alias("payee"))
-        .agg(
-            total().alias("total_spend"),
-            F.count(F.lit(1)).alias("transaction_count"),
-            F.count_distinct("fiscal_year").alias("years_active"),
-            F.min("fiscal_year").alias("first_year"),
-            F.max("fiscal_year").alias("last_year"),
-            F.count_distinct("agency_canonical").alias("agencies_served"),
-            F.array_join(F.array_sort(F.collect_set("agency_canonical")), "; ").alias("agency_list"),
-            F.count_distinct("fund").alias("funds_used"),
-            F.count_distinct("expenditure_type").alias("expenditure_types"),
-        )
+    """Ten measures of every paid payee.
+
+    Payments are first added up per combination of what is counted distinct, so the distinct counts don't multiply the
+    rows that are shuffled.
+    """
+    dims = ["fiscal_year", "agency_canonical", "fund", "expenditure_type"]
+    g = e.where("extended_amount > 0 AND payee_canonical IS NOT NULL").groupBy(F.col("payee_canonical").alias("payee"), *dims).agg(F.sum("extended_amount").alias("s"), F.count(F.lit(1)).alias("n"))
+    sets = g.groupBy("payee").agg(F.sum("s").alias("s"), F.sum("n").alias("transaction_count"), F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year"), *[F.collect_set(d).alias(d) for d in dims])
+    size = lambda c: F.size(c).cast("long")
+    return sets.select(
+        "payee",
+        C.round2(F.col("s")).alias("total_spend"),
+        "transaction_count",
+        size("fiscal_year").alias("years_active"),
+        "first_year",
+        "last_year",
+        size("agency_canonical").alias("agencies_served"),
+        F.array_join(F.array_sort("agency_canonical"), "; ").alias("agency_list"),
+        size("fund").alias("funds_used"),
+        size("expenditure_type").alias("expenditure_types"),
     )
 
 
