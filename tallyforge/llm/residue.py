@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import cut_lineage
+
 #: Template slots.  Brackets count with a slot's words or capitals inside, so [sic], [Exhibit C], {a} and tags don't.
 PLACEHOLDERS = (
     r"\{\{[^{}\n]{1,60}\}\}",
@@ -123,6 +125,7 @@ def evidence(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(F.regexp_replace(F.array_join("segs", " "), r"\d+", "#")).alias("digest"),
     )
     d = d.withColumn("mismatch", ~F.arrays_overlap("body_terms", "own_terms")).withColumn("low", (F.size("body_terms") <= low_words) & (F.size("body_terms") > 0)).drop("body_terms", "own_terms")
+    d = cut_lineage(d)  # flags and digests only: the texts are searched once
     # copies are counted for low-information bodies with words of notices only; the counts are pre-aggregated, a body told by a third of all rows is one group of counters
     copies = d.where("low AND notice AND mismatch").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("host").alias("hosts"), F.count_distinct("source").alias("sources"))
     d = d.join(copies.where(F.col("copies") >= least_copies), "digest", "left")
