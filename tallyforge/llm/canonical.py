@@ -297,5 +297,6 @@ def label_chains(lines: DataFrame, chains: DataFrame, *, id_col: str, value_col:
             yield pd.DataFrame(out, columns=["value", "canonical"])
 
     lines = lines.select(F.col(id_col).alias("id"), F.col(value_col).cast("string").alias("value")).where("value IS NOT NULL")
-    labels = lines.select("value").distinct().mapInPandas(run, "value string, canonical string")
+    n = max(2, 2 * lines.sparkSession.sparkContext.defaultParallelism)  # the search is Python work: spread it, however small the values are
+    labels = lines.select("value").distinct().repartition(n).mapInPandas(run, "value string, canonical string")
     return lines.join(labels, "value").select(F.col("id").alias(id_col), "canonical")

@@ -98,6 +98,7 @@ class Name:
         return len(self.trades) == 1 and len(self.names) > 1 and not self.broken
 
 
+_LEGAL_CUT = {w[:k]: short for w, short in (("company", "co"), ("corporation", "corp"), ("incorporated", "inc"), ("limited", "ltd")) for k in range(4, len(w))}
 _LEGAL_KIND = {"incorporated": "inc", "corporation": "corp", "company": "co", "limited": "ltd"}
 
 
@@ -115,11 +116,12 @@ def _split(word: str) -> list[str]:
 def tokens(raw: str) -> list[str]:
     t = re.sub(r"\b([A-Z][a-z]{3,})(?=[A-Z][a-z]{2,})", r"\1 ", raw)
     t = strip_notes(fold(t))
-    t = re.sub(r"\bl\.?\s?l\.?\s?c\b\.?", "llc", t)
+    t = re.sub(r"\bl\.?\s?l\.?\s?c\b\.?|(?<=\s)l\.?\s?l\.?\s*$", "llc", t)
     t = re.sub(r"[’'`]", "", t)
     t = re.sub(r"\s*-?\s*[&+]\s*-?|/", " and ", t)
     t = re.sub(r"#\s*(?=\d)", " no ", t)
-    return [x for w in re.findall(r"[^\W_]+", t) for x in _split("co" if w == "c0" else unscan(w))]
+    out = [x for w in re.findall(r"[^\W_]+", t) for x in _split("co" if w == "c0" else unscan(w))]
+    return [x for w in out for x in ([w[:-2], "of"] if len(w) >= 9 and w.endswith("of") else [w])]
 
 
 @lru_cache(maxsize=100_000)
@@ -132,8 +134,8 @@ def parse(raw: str) -> Name:
     legal = ""
     body: list[str] = []
     for k, w in enumerate(words):
-        if w in LEGAL and k:
-            legal = _LEGAL_KIND.get(w, w)
+        if k and (w in LEGAL or broken and k == len(words) - 1 and w in _LEGAL_CUT):
+            legal = _LEGAL_KIND.get(w) or _LEGAL_CUT.get(w, w)
         elif w not in ("and", "of"):
             body.append(w)
     number = next((w for w in reversed(body) if w.isdigit()), "")
@@ -215,11 +217,28 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + 0.1 * p * (1 - j)
 
 
-def close(a: str, b: str, least: float = 0.84) -> bool:
-    """Whether two words are one word with a slip of the hand: alike by Jaro-Winkler and within two edits."""
+def close(a: str, b: str, least: float = 0.84, least_one: float = 0.78) -> bool:
+    """Whether two words are one word with a slip of the hand: alike by Jaro-Winkler and within two edits.
+
+    A single edit in a long word may weigh more there, as at its beginning.
+    """
     if a == b:
         return True
-    return abs(len(a) - len(b)) <= 2 and jaro_winkler(a, b) >= least and edits(a, b, 2) <= (2 if min(len(a), len(b)) >= 6 else 1)
+    if abs(len(a) - len(b)) > 2:
+        return False
+    jw = jaro_winkler(a, b)
+    if jw < least_one:
+        return False
+    d, short = edits(a, b, 2), min(len(a), len(b))
+    return d <= 1 and (jw >= least or short >= 6) or d == 2 and short >= 6 and jw >= least
+
+
+def likeness(a: Name, b: Name) -> float:
+    """Mean Jaro-Winkler of the best partners of proper names; legal forms that agree add a little."""
+    s, t = sorted((a.names, b.names), key=len)
+    if not s:
+        return 0.0
+    return sum(max(jaro_winkler(x, y) for y in t) for x in s) / len(s) + 0.05 * (a.legal == b.legal)
 
 
 def names_agree(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
@@ -270,7 +289,7 @@ def keys(n: Name) -> set[str]:
             out.add(f"f|{fine_code(w)}|{other[:1]}")
     if names:
         for t in n.trades or {""}:
-            out.add(f"t|{fine_code(names[0])}|{t}{n.number if n.kind == 'society' else ''}")
+            out |= {f"t|{fine_code(w)}|{t}{n.number if n.kind == 'society' else ''}" for w in names[:2]}
         if len(names[0]) >= 6:
             out.add(f"s|{names[0][:6]}")
     return out
