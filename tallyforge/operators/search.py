@@ -152,3 +152,23 @@ def cited(hits: list[dict], answer: str) -> list[dict]:
         if re.search(rf"(?<![\w]){body}(?![\w])(?!{dashes}\w)", answer, re.I):
             out.append(h)
     return out
+
+
+def swap_corpus(docs: DataFrame, folder: str) -> str:
+    """Writes a corpus beside ``folder`` and then puts it in its place; leftovers of broken builds are removed.
+
+    For a local or mounted folder; on object stores write a new folder and change what points to it.
+    """
+    import glob
+    import os
+    import shutil
+
+    for old in glob.glob(folder + ".part*"):
+        shutil.rmtree(old, ignore_errors=True)
+    part, gone = f"{folder}.part{os.getpid()}", f"{folder}.old{os.getpid()}"
+    docs.write.mode("overwrite").parquet(part)
+    if os.path.exists(folder):
+        os.replace(folder, gone)
+    os.replace(part, folder)
+    shutil.rmtree(gone, ignore_errors=True)
+    return folder

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
+from tallyforge.functions import sqltext
 from tallyforge.operators import derive
 from tallyforge.session import table
 
@@ -351,3 +352,29 @@ def intersection(spark, base):
 @query("SELECT DISTINCT city, fund FROM expenditures")
 def distinct_rows(spark, base):
     return ledger(spark, base).select("city", "fund").distinct()
+
+
+# ---- statements of the embedded engine's dialect, bridged ----
+
+
+def bridged(name: str, sql: str) -> None:
+    """Registers a statement that runs through the dialect bridge; its oracle is the statement itself."""
+
+    def run(spark, base):
+        for t in ("expenditures", "agency_map", "salary_data"):
+            if t in sql:
+                table(spark, base, t).createOrReplaceTempView(t)
+        return spark.sql(sqltext.to_spark(sql))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+bridged("sql_qualify", "SELECT city, payee_canonical, line_id, extended_amount FROM expenditures WHERE extended_amount IS NOT NULL QUALIFY row_number() OVER (PARTITION BY city ORDER BY extended_amount DESC, line_id) <= 2 ORDER BY city, line_id")
+bridged("sql_list_aggregation", "SELECT city, string_agg(DISTINCT region, '; ' ORDER BY region) AS regions FROM expenditures WHERE region IS NOT NULL GROUP BY city")
+bridged("sql_exclude", "SELECT * EXCLUDE (source) FROM agency_map ORDER BY canonical LIMIT 1000000")
+bridged("sql_int_division", "SELECT line_id, fiscal_year // 10 AS decade FROM expenditures WHERE fiscal_year IS NOT NULL")
+bridged("sql_distinct_on", "SELECT DISTINCT ON (city, fund) city, fund, line_id FROM expenditures WHERE fund IS NOT NULL ORDER BY city, fund, line_id DESC")
+bridged("sql_null_order", "SELECT line_id, rank() OVER (PARTITION BY city ORDER BY region, line_id) AS place FROM expenditures")
+bridged("sql_cte_union", "WITH a AS (SELECT city, sum(extended_amount) AS s FROM expenditures GROUP BY 1), b AS (SELECT city, sum(YTD_Total) AS s FROM salary_data GROUP BY ALL) SELECT city, 'ledger' AS kind, round(s * 100, 0) / 100 AS total FROM a UNION SELECT city, 'salaries', round(s * 100, 0) / 100 FROM b WHERE s > 0")
+bridged("sql_filter_having", "SELECT city, count(*) FILTER (WHERE extended_amount < 0) AS negatives, count(*) AS n FROM expenditures GROUP BY city HAVING n > 1")

@@ -129,3 +129,14 @@ def events(question: str, run: Callable[[str], object], cache: ResponseCache, li
             told.append(e)
             yield e
     cache.put(question, told)
+
+
+def warm(questions: list[str], ask: Callable[[str], Iterator[dict]]) -> dict[str, str]:
+    """Asks each question once so that its answer is kept; question -> ``done`` or what went wrong."""
+    out = {}
+    for q in dict.fromkeys(questions):
+        last = {"type": "error", "content": "nothing came"}
+        for last in ask(q):
+            pass
+        out[q] = "done" if last["type"] == "done" else str(last.get("content"))
+    return out

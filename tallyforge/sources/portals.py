@@ -149,3 +149,42 @@ AGENT_SERVICES = ("REGISTERED AGENT", "CORPORATION SERVICE", "CT CORPORATION", "
 def is_agent_service(name: str | None) -> bool:
     up = (name or "").upper()
     return any(w in up for w in AGENT_SERVICES)
+
+
+# ---- bulk files, environment files ----
+
+
+def bulk_file(open_url: Callable[[str], object], url: str, path: str, retries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """A bulk download as a file, in place at once; returns its size. ``open_url`` gives a binary reader."""
+    import os
+    import shutil
+
+    part = path + ".part"
+    for k in range(retries):
+        try:
+            with open_url(url) as src, open(part, "wb") as out:
+                shutil.copyfileobj(src, out)
+            os.replace(part, path)
+            return os.path.getsize(path)
+        except OSError:
+            if os.path.exists(part):
+                os.remove(part)
+            if k + 1 == retries:
+                raise
+            sleep(wait * 2**k)
+    raise AssertionError
+
+
+def set_env_key(path: str, key: str, value: str) -> None:
+    """One key of an environment file set or added; other lines stay, the file is replaced at once and private."""
+    import os
+
+    lines = open(path, encoding="utf-8").read().splitlines() if os.path.exists(path) else []
+    new = f"{key}={value}"
+    hit = [k for k, line in enumerate(lines) if line.split("=", 1)[0].removeprefix("export ").strip() == key]
+    for k in hit:
+        lines[k] = new
+    part = path + ".part"
+    with open(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
+        f.write("\n".join(lines if hit else [*lines, new]) + "\n")
+    os.replace(part, path)

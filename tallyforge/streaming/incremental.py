@@ -21,6 +21,8 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 
     Repeated events (same id) count once; on a stream ``late`` bounds how long they are remembered.
     """
+    if events.isStreaming:
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     e = events.withWatermark("ts", late).dropDuplicates(["event_id", "ts"]) if events.isStreaming else events.dropDuplicates(["event_id", "ts"])
     g = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
