@@ -226,6 +226,8 @@ def map_values(table: DataFrame, *, id_col: str, group_col: str, value_col: str,
                 rows += [(i, e, s) for e, s in known_hits[v]]
         return pd.DataFrame(rows, columns=["id", "entry", "score"])
 
+    n = max(2, 2 * table.sparkSession.sparkContext.defaultParallelism)  # small rows, much work: partitions by count, not by size
+    known, asked = known.repartition(n, "g", "shard", "salt"), asked.repartition(n, "ag", "ashard", "asalt")
     hits = known.groupBy("g", "shard", "salt").cogroup(asked.groupBy("ag", "ashard", "asalt")).applyInPandas(search, f"id {kind}, entry string, score double")
     per_entry = hits.groupBy("id", "entry").agg(F.min("score").alias("score"))
     least = per_entry.groupBy("id").agg(F.min("score").alias("score"), F.min_by("entry", "score").alias("entry"), F.collect_list("score").alias("scores"))
