@@ -35,6 +35,8 @@ PLACEHOLDERS = (
     r"[\[<](?!(?:SIC|REPEALED|RESERVED|AMENDED|DELETED|OMITTED|VACANT)[\]>])[A-Z]{2,}(?:[ _.-][A-Z]{2,}){0,4}[\]>]",
     r"(?i)\[\s*(?:first|last|full|sponsor|member|agency|vendor|payee|clerk|council|matter|contract|hearing|passed|fiscal|file|start|end)?[ _.]?(?:name|date|title|number|no|subject|member|amount|address|city|year|term|district|fund|sponsor|signature|summary|description|topic|placeholder|tbd|todo)\s*\]",
     r"(?i)\[\s*(?:summary|text|title|description|content|details)\s(?:pending|missing|to come|to follow|tbd|here)\s*\]",
+    r"(?i)\[\s*(?:sponsor|member|agency|vendor|payee|clerk|council|matter|contract|hearing|file)\s*\]",
+    r"(?i)[\[<{]\s*[^\s\[\]<>{}_.-]{1,30}(?:[ _.-]+[^\s\[\]<>{}_.-]{1,30}){0,3}[ _.-]+here\s*[\]>}]",
     r"(?<![_\w])_{5,}(?!\w)",
 )
 #: Segments that are filler.

@@ -47,3 +47,12 @@ def test_duplicated_low_information_notices(spark):
     same = [f"Maintenance window. Retry in {k} minutes." for k in range(4)]
     e = {r["doc_id"]: r for r in R.evidence(docs(spark, [*same, "Maintenance of drains was approved."])).collect()}
     assert all(e[k]["duplicate"] and e[k]["copies"] == 4 for k in range(4)) and not e[4]["hit"]
+
+
+def test_slots_that_end_in_here_and_bare_field_names(spark):
+    cases = ["Adopted on [passed date HERE] by the panel.", "See [file no HERE] for costs.", "The [matter title HERE] was heard.", "[FISCAL YEAR HERE]", "[file no. here]", "{clerk signature here} signed", "<hearing_date_HERE>", "[one two three four HERE]"]
+    cases += [f"The [{w}] was named." for w in ("payee", "vendor", "agency", "clerk", "Council", "matter", "contract", "hearing", "file", "member", "sponsor", "district", "amount")]
+    real = ["The motion stands [sic] as [amended May 2011].", "[a b c d e here]", "It was filed (copy kept here) and [Exhibit C] was read.", "[here]", "The [first] reading and the [last] one.", "Maps [see there] were shown."]
+    got = {r[0] for r in R.residue(docs(spark, cases + real)).collect()}
+    assert [c for k, c in enumerate(cases) if k not in got] == []
+    assert [real[k - len(cases)] for k in sorted(got) if k >= len(cases)] == []
