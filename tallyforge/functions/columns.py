@@ -58,9 +58,13 @@ def month_of(c: Column) -> Column:
     return F.substring(c.cast("string"), 1, 7)
 
 
+#: White space of every script, as Unicode-aware engines take it (fixed values); zero-width characters are none.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def clean_space(c: Column) -> Column:
-    """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """White space runs as one blank, none at the ends; null stays null."""
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 #: Trailing words of an organisation's name that carry no identity (fixed values).

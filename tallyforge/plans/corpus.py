@@ -48,8 +48,19 @@ def bm25_top(spark, base):
 
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS cleaned, substr(intro_date, 1, 10) AS day FROM documents WHERE lang = 'es' AND text IS NOT NULL AND regexp_full_match(text, '[\\x{0009}\\x{000A}\\x{000D}\\x{0020}-\\x{007E}\\x{00A1}-\\x{024F}]*')")
 def clean_texts(spark, base):
+    """The texts of ``clean_texts_all`` that both engines' white-space classes cover: its check against SQL."""
     d = table(spark, base, "documents").where((F.col("lang") == "es") & F.col("text").isNotNull() & F.col("text").rlike(r"\A[\t\n\r\x20-\x7E\xA1-ɏ]*\z"))
-    return d.select("doc_id", C.clean_space(F.col("text")).alias("cleaned"), F.substring("intro_date", 1, 10).alias("day"))
+    return _cleaned(d)
+
+
+def _cleaned(docs):
+    return docs.select("doc_id", C.clean_space(F.col("text")).alias("cleaned"), F.substring("intro_date", 1, 10).alias("day"))
+
+
+@query()
+def clean_texts_all(spark, base):
+    """Every document with its text cleaned, whatever its language and characters; null texts stay null."""
+    return _cleaned(table(spark, base, "documents"))
 
 
 @query("SELECT matter_type, status, count(*) AS n, count(text) AS with_text, min(intro_date) AS first_day, max(intro_date) AS last_day FROM documents GROUP BY 1, 2")
