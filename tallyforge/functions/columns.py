@@ -80,7 +80,7 @@ def name_key(c: Column) -> Column:
     k = F.upper(F.coalesce(c, F.lit("")))
     k = F.regexp_replace(k, r"\.", "")
     k = F.regexp_replace(k, "&", " AND ")
-    k = F.regexp_replace(k, r"\s*#\s*\d*\s*$", "")
+    k = F.regexp_replace(k, rf"{SPACE}*#{SPACE}*\p{{Nd}}*{SPACE}*$", "")
     k = F.trim(F.regexp_replace(k, "[^A-Z0-9]+", " "))
     k = F.regexp_replace(k, "^THE (?=.)", "")
     return F.regexp_replace(k, f"( ({'|'.join(SUFFIXES)}))+$", "")

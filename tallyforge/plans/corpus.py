@@ -77,18 +77,39 @@ _ASCII = "payee IS NOT NULL AND regexp_full_match(payee, '[\\x{0020}-\\x{007E}]*
 
 @query(f"SELECT DISTINCT payee, {_KEY.format(c='payee')} AS key FROM expenditures WHERE {_ASCII}")
 def name_keys(spark, base):
-    e = table(spark, base, "expenditures").where(F.col("payee").rlike(r"\A[\x20-\x7E]*\z")).select("payee").distinct()
-    return e.select("payee", C.name_key(F.col("payee")).alias("key"))
+    """The keys of ``name_keys_all`` that SQL can check: both engines fold and match printable ASCII alike."""
+    return _keys(table(spark, base, "expenditures").where(F.col("payee").rlike(r"\A[\x20-\x7E]*\z")))
+
+
+def _keys(e):
+    return e.select("payee").distinct().select("payee", C.name_key(F.col("payee")).alias("key"))
+
+
+@query()
+def name_keys_all(spark, base):
+    """The key of every payee spelling."""
+    return _keys(table(spark, base, "expenditures").where("payee IS NOT NULL"))
 
 
 @query(f"""WITH r AS (SELECT payee AS raw, coalesce(sum(TRY_CAST(extended_amount AS DOUBLE)), 0) AS w FROM expenditures WHERE NOT is_data_artifact AND {_ASCII} GROUP BY 1), k AS (SELECT {_KEY.format(c='raw')} AS key, raw, w FROM r)
 SELECT key, round(sum(w) * 100, 0) / 100 AS weight, count(*) AS members FROM k WHERE key <> '' GROUP BY 1""")
 def name_clusters(spark, base):
-    raw = entity.weights(table(spark, base, "expenditures").where(F.col("payee").rlike(r"\A[\x20-\x7E]*\z")), "payee", "extended_amount", "is_data_artifact")
+    """Clusters of the spellings in printable ASCII alone, as its SQL states; ``name_clusters_all`` has the weights and members of all."""
+    return _clusters(table(spark, base, "expenditures").where(F.col("payee").rlike(r"\A[\x20-\x7E]*\z")))
+
+
+def _clusters(e):
+    raw = entity.weights(e, "payee", "extended_amount", "is_data_artifact")
     c = raw.withColumn("key", C.name_key(F.col("raw"))).where("key <> ''")
     return c.groupBy("key").agg(C.round2(F.sum("weight")).alias("weight"), F.count(F.lit(1)).alias("members"))
 
 
+@query()
+def name_clusters_all(spark, base):
+    """Weight and members of every cluster of payee spellings."""
+    return _clusters(table(spark, base, "expenditures"))
+
+
 @query()
 def draft_map(spark, base):
     """Rows of a draft map with title-cased labels."""

@@ -23,3 +23,36 @@ def test_white_space_of_every_script(spark):
 def test_clean_texts_all_takes_every_document(spark, small):
     want = {r.doc_id: python_clean(r.text) for r in pd.read_parquet(f"{small}/documents.parquet", columns=["doc_id", "text"]).itertuples()}
     assert {r["doc_id"]: r["cleaned"] for r in registry.queries()["clean_texts_all"](spark, small).collect()} == want
+
+
+def python_key(name):
+    """Identity key, word by word."""
+    s = re.sub(r"\s*#\s*\d*\s*$", "", name.upper().replace(".", "").replace("&", " AND "))
+    words = re.sub(r"[^A-Z0-9]+", " ", s).split()
+    words = words[1:] if len(words) > 1 and words[0] == "THE" else words
+    while len(words) > 1 and words[-1] in C.SUFFIXES:
+        words.pop()
+    return " ".join(words)
+
+
+PAYEES = ["Acme\u00a0Drains Inc", "ACME DRAINS", "Acme Drains\u2003#\u00a012", "Müller & Söhne GmbH\u00a0#7", "Hooliföm & Kedoyan, Inc.", "The\u00a0Straße Co", "Привет", "Yesil #\u0663", "\u00a0"]
+
+
+def test_keys_of_names_beyond_ascii(spark):
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(PAYEES)], "k int, p string")
+    got = [r[0] for r in df.orderBy("k").select(C.name_key(F.col("p"))).collect()]
+    assert got == [python_key(p) for p in PAYEES] and got[:3] == ["ACME DRAINS"] * 3
+
+
+def test_name_queries_take_payees_beyond_ascii(spark, tmp_path):
+    rows = [(p, 10.0 * (k + 1), False) for k, p in enumerate(PAYEES)] + [("Acme\u00a0Drains Inc", 0.5, False), (None, 7.0, False), ("Acme Drains", 900.0, True)]
+    spark.createDataFrame(rows, "payee string, extended_amount double, is_data_artifact boolean").write.parquet(f"{tmp_path}/expenditures.parquet")
+    keys = {r["payee"]: r["key"] for r in registry.queries()["name_keys_all"](spark, str(tmp_path)).collect()}
+    assert keys == {p: python_key(p) for p, _, _ in rows if p is not None}
+    want: dict = {}
+    for p, w, wrong in rows:
+        if p is not None and not wrong and python_key(p):
+            total, members = want.get(python_key(p), (0.0, set()))
+            want[python_key(p)] = (total + w, members | {p})
+    got = {r["key"]: (r["weight"], r["members"]) for r in registry.queries()["name_clusters_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: (round(w, 2), len(m)) for k, (w, m) in want.items()} and got["ACME DRAINS"] == (60.5, 3)
