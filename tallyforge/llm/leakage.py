@@ -1,8 +1,10 @@
 """Evaluation items that leak into a corpus.
 
 The normalised words of all items form one generalised suffix automaton.  Each document's words are streamed through
-it; at every word the automaton holds the longest run that some item also holds, and the items that hold it.  A maximal
-run of ``passage`` words leaks at once.  Items of which shorter runs cover enough are compared exactly: the share of
+it; at every word the automaton holds the longest run that some item also holds, and its suffix links lead to the
+shorter runs of further items, so that each item has its own maximal runs.  A run of ``passage`` words leaks at once,
+unless stock phrases (6 words or more that 4 items hold) of up to ``stock_phrase`` words cover all of it, or a longer
+one, itself no passage, leaves fewer than ``passage - stock_phrase`` other words.  Items of which shorter runs cover enough are compared exactly: the share of
 the item's words, weighted by how few items have them, that the document holds in such runs or beside them.
 
 Normalisation: mark-up removed, compatibility forms and case folded, accents, invisible characters and punctuation
@@ -113,16 +115,55 @@ class SuffixAutomaton:
         if n >= least:
             yield len(seq) - n, len(seq), self.mask[s]
 
+    def held(self, seq: list[str], least: int):
+        """For each word of seq: {length: mask of the items whose longest run that ends here is so long}, from ``least`` words."""
+        s = n = 0
+        nxt, link, length = self.next, self.link, self.length
+        for w in seq:
+            while s and w not in nxt[s]:
+                s = link[s]
+                n = length[s]
+            t = nxt[s].get(w)
+            s, n = (t, n + 1) if t is not None else (0, 0)
+            at, x, m, seen = {}, s, n, 0
+            while m >= least:
+                if own := self.mask[x] & ~seen:
+                    at[m] = own
+                    seen |= own
+                x = link[x]
+                m = length[x]
+            yield at
+
+    def item_runs(self, seq: list[str], least: int):
+        """Each item's own maximal runs (start, end, mask of items) of at least ``least`` words that seq shares with it."""
+        before: dict[int, int] = {}
+        i = 0
+        for i, at in enumerate(self.held(seq, least)):
+            for n, mask in before.items():
+                if ended := mask & ~at.get(n + 1, 0):
+                    yield i - n, i, ended
+            before = at
+        for n, mask in before.items():
+            yield i + 1 - n, i + 1, mask
+
+
+def _bits(mask: int):
+    """The numbers of the bits that are set."""
+    while mask:
+        yield (mask & -mask).bit_length() - 1
+        mask &= mask - 1
+
 
 class LeakIndex:
     """The items, their automaton and their words' weights."""
 
-    def __init__(self, items: list[tuple[int, str]], passage: int = 18, least_run: int = 3, cover: float = 0.3, share: float = 0.62, stock_room: int = 8, shortest_longest: int = 5):
+    def __init__(self, items: list[tuple[int, str]], passage: int = 18, least_run: int = 3, cover: float = 0.3, share: float = 0.62, stock_phrase: int = 12, shortest_longest: int = 5):
         seqs = [(i, words(t)) for i, t in items]
         self.ids = [i for i, s in seqs if s]
         self.seqs = [s for _, s in seqs if s]
-        self.passage, self.least_run, self.cover, self.share, self.stock_room = passage, least_run, cover, share, stock_room
+        self.passage, self.least_run, self.cover, self.share, self.stock_phrase = passage, least_run, cover, share, stock_phrase
         self.shortest_longest = shortest_longest
+        self.least_whole = max(least_run, min([passage, *map(len, self.seqs)]))
         df = Counter(w for s in self.seqs for w in set(s))
         n = len(self.seqs)
         self.weight = {w: math.log((n + 1) / c) for w, c in df.items()}
@@ -148,32 +189,58 @@ class LeakIndex:
         seq = words(text)
         longest: dict[int, int] = {}
         covered: dict[int, int] = {}
-        stock = set()
+        phrases = None
         for a, b, mask in self.auto.runs(seq, self.least_run):
-            if b - a >= self.passage:
-                stock = stock or self._in_stock(seq)
-                if sum(i not in stock for i in range(a, b)) < self.passage - self.stock_room:
-                    b = min(b, a + self.passage - 1)
-            while mask:
-                k = (mask & -mask).bit_length() - 1
-                mask &= mask - 1
-                longest[k] = max(longest.get(k, 0), b - a)
-                covered[k] = covered.get(k, 0) + b - a
+            if b - a >= self.least_whole:
+                phrases = self._phrases(seq) if phrases is None else phrases
+            n = self.passage - 1 if b - a >= self.passage and self._only_stock(a, b, phrases) else b - a
+            for k in _bits(mask):
+                longest[k] = max(longest.get(k, 0), n)
+                covered[k] = covered.get(k, 0) + n
+        if phrases is not None:  # passages and whole items that lie inside a longer run of another item
+            for a, b, mask in self.auto.item_runs(seq, self.least_whole):
+                for k in _bits(mask):
+                    if b - a >= len(self.seqs[k]) or b - a >= self.passage:
+                        n = self.passage - 1 if b - a >= self.passage and self._only_stock(a, b, phrases) else b - a
+                        longest[k] = max(longest.get(k, 0), n)
         out = {}
         bag = None
         for k, n in longest.items():
             full = len(self.seqs[k])
             if n >= self.passage or n >= full:
                 out[self.ids[k]] = (n, 1.0 if n >= full else self._share(k, bag := bag or Counter(seq)))
-            elif n >= self.shortest_longest and covered[k] >= self.cover * full:
+            elif n >= self.shortest_longest and covered.get(k, 0) >= self.cover * full:
                 s = self._share(k, bag := bag or Counter(seq))
                 if s >= self.share:
                     out[self.ids[k]] = (n, s)
         return out
 
-    def _in_stock(self, seq: list[str], least: int = 6, items: int = 4) -> set[int]:
-        """Positions of a document's words that stand in stock phrases of the items."""
-        return {i for i, x in enumerate(self._stock(seq, least, items)) if x}
+    def _phrases(self, seq: list[str], least: int = 6, items: int = 4) -> list[tuple[int, int]]:
+        """A document's stock phrases (start, end): maximal runs of at least ``least`` words, but no passage, that ``items`` items hold."""
+        out = []
+        before = 0
+        for i, at in enumerate([*self.auto.held(seq, least), {}]):
+            now = mask = 0
+            for n, own in at.items():  # the longest first
+                mask |= own
+                if mask.bit_count() >= items:
+                    now = n
+                    break
+            if now != before + 1 and least <= before < self.passage:
+                out.append((i - before, i))
+            before = now
+        return out
+
+    def _only_stock(self, a: int, b: int, phrases: list[tuple[int, int]]) -> bool:
+        """Whether a run is made of stock phrases alone, or of one longer phrase with too few words beside it."""
+        own = set(range(a, b))
+        for x, y in phrases:
+            n = min(y, b) - max(x, a)
+            if n > self.stock_phrase and b - a - n < self.passage - self.stock_phrase:
+                return True
+            if y - x <= self.stock_phrase:
+                own.difference_update(range(x, y))
+        return not own
 
     def _share(self, k: int, bag: Counter) -> float:
         return sum(self.weight[w] * min(c, bag[w]) for w, c in self.bags[k].items() if w in bag) / self.totals[k]
@@ -187,12 +254,12 @@ class LeakIndex:
         seq = [w for w, _, _ in pieces]
         own = sum(1 << k for k, i in enumerate(self.ids) if i in hits)
         out: list[list[int]] = []
-        for a, b, mask in self.auto.runs(seq, self.least_run):
-            if mask & own:
-                if out and a - out[-1][1] <= 3:
-                    out[-1][1] = max(b, out[-1][1])
-                else:
-                    out.append([a, b])
+        runs = [*self.auto.runs(seq, self.least_run), *self.auto.item_runs(seq, self.least_whole)]
+        for a, b in sorted({(a, b) for a, b, mask in runs if mask & own}):
+            if out and a - out[-1][1] <= 3:
+                out[-1][1] = max(b, out[-1][1])
+            else:
+                out.append([a, b])
         return [(pieces[a][1], pieces[b - 1][2]) for a, b in out if b - a >= 2 * self.least_run]
 
 

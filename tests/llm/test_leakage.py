@@ -74,3 +74,41 @@ def test_operator(spark, items):
     assert cut[1].strip(" .") == "" and len(cut[4].split()) == 20000
     with pytest.raises(ValueError):
         L.leaks(d, it, max_item_words=10)
+
+
+def test_own_runs_of_each_item_equal_brute_force():
+    rnd = random.Random(5)
+    words = list("abcd")
+    for _ in range(150):
+        items = [[rnd.choice(words) for _ in range(rnd.randint(1, 12))] for _ in range(rnd.randint(1, 4))]
+        doc = [rnd.choice(words + ["z"]) for _ in range(30)]
+        held = lambda seg, it: any(it[k : k + len(seg)] == seg for k in range(len(it) - len(seg) + 1))
+        want = set()
+        for k, it in enumerate(items):
+            for i in range(len(doc)):
+                for j in range(i + 2, len(doc) + 1):
+                    if held(doc[i:j], it) and not (i > 0 and held(doc[i - 1 : j], it)) and not (j < len(doc) and held(doc[i : j + 1], it)):
+                        want.add((i, j, k))
+        got = [(a, b, k) for a, b, m in L.SuffixAutomaton(items).item_runs(doc, 2) for k in range(len(items)) if m >> k & 1]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_passage_inside_a_longer_run_of_another_item():
+    rnd = random.Random(6)
+    shared = sentence(rnd, 18)
+    a, b = sentence(rnd, 12) + shared + sentence(rnd, 12), sentence(rnd, 15) + shared + sentence(rnd, 9)
+    ix = L.LeakIndex([(1, " ".join(a)), (2, " ".join(b))])
+    assert set(ix.find("x1 x2 " + " ".join(a) + " x3")) == {1, 2}
+    assert not L.LeakIndex([(1, " ".join(a))]).find(" ".join(shared[1:]))
+    whole = L.LeakIndex([(1, " ".join(a)), (2, " ".join(a[3:12]))])
+    assert set(whole.find("x1 x2 " + " ".join(a[:20]) + " x3")) == {1, 2}
+
+
+def test_passages_with_words_beside_stock_phrases_leak():
+    rnd = random.Random(7)
+    one, two = sentence(rnd, 12), sentence(rnd, 9)
+    seqs = [sentence(rnd, 9) + one + sentence(rnd, 9) + two + sentence(rnd, 9) for _ in range(6)]
+    seqs.append(sentence(rnd, 9) + one + two + sentence(rnd, 9))
+    ix = L.LeakIndex([(k, " ".join(s)) for k, s in enumerate(seqs)])
+    assert set(ix.find("x1 " + " ".join(seqs[2][6:24]) + " x2")) == {2}  # 18 words, 12 of them a stock phrase
+    assert not ix.find("x1 " + " ".join(one + two) + " x2")  # stock phrases alone
