@@ -134,7 +134,7 @@ def value_counts(spark: SparkSession, path: str, load: str, city: str, loaded_at
 
 
 def load_profile(counts: DataFrame, rule: ColumnRule) -> DataFrame:
-    """One row per load of a column's value counts: rows, missing, distinct, values out of range and out of pattern."""
+    """One row per load of a column's value counts: rows, missing, distinct, values out of range and out of pattern, range as numbers and as texts."""
     c = counts.withColumn("miss", is_missing(F.col("value")))
     number = F.expr("try_cast(value AS BIGINT)")
     odd = ~F.col("miss") & ~F.col("value").rlike(rule.pattern) if rule.pattern else F.lit(False)
@@ -147,6 +147,8 @@ def load_profile(counts: DataFrame, rule: ColumnRule) -> DataFrame:
         F.sum(F.when(out, F.col("n")).otherwise(0)).alias("n_out"),
         F.min(F.when(~F.col("miss"), number)).alias("low"),
         F.max(F.when(~F.col("miss"), number)).alias("high"),
+        F.min(F.when(~F.col("miss"), F.col("value"))).alias("first"),
+        F.max(F.when(~F.col("miss"), F.col("value"))).alias("last"),
     )
 
 

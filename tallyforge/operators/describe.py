@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENUM_MOST = 12
 
 
+def _as_text(c: Column, kind: T.DataType) -> Column:
+    """A text for each value that only equal values share."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0.0)  # no negative zero
+    elif isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif isinstance(kind, T.BinaryType):
+        c = F.hex(c)
+    return c.cast("string")
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """(column, type, n_rows, n_null, n_distinct, low, high) of every column, in one aggregation over the table."""
+    """(column, type, n_rows, n_null, n_distinct, low, high) of every column.
+
+    One pass has counts and extrema, a second the distinct values of all columns as (column, text) pairs: their groups are
+    hashed, which many distinct aggregates in one query are not.
+    """
     cols = [f for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(cols):
         c = F.col(f"`{f.name}`")
-        aggs += [F.count(c).alias(f"f{i}"), F.count_distinct(c).alias(f"d{i}"), F.min(c).cast("string").alias(f"l{i}"), F.max(c).cast("string").alias(f"h{i}")]
+        aggs += [F.count(c).alias(f"f{i}"), F.min(c).cast("string").alias(f"l{i}"), F.max(c).cast("string").alias(f"h{i}")]
     one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"f{i}")).alias("n_null"), F.col(f"d{i}").alias("n_distinct"), F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high")) for i, f in enumerate(cols)])
-    return one.select(F.explode(rows).alias("p")).select("p.*")
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"f{i}")).alias("n_null"), F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high")) for i, f in enumerate(cols)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _as_text(F.col(f"`{f.name}`"), f.dataType).alias("v")) for i, f in enumerate(cols)])
+    n = df.select(F.explode(pairs).alias("p")).select("p.i", "p.v").where("v IS NOT NULL").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("d"))
+    out = one.select(F.explode(rows).alias("p")).select("p.*").join(n, "i", "left")
+    return out.select("column", "type", "n_rows", "n_null", F.coalesce("d", F.lit(0)).cast("long").alias("n_distinct"), "low", "high")
 
 
 def values_of(df: DataFrame, column: str, n: int) -> list[str]:

@@ -166,9 +166,16 @@ _COLS = {"fund": "VARCHAR", "fiscal_year": "INTEGER", "extended_amount": "DOUBLE
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM expenditures" for c in _COLS))
 def table_profile(spark, base):
+    """The counts of four columns that its SQL states; ``table_profile_all`` profiles the table."""
     return describe.profile(table(spark, base, "expenditures").select(*_COLS)).select("column", "n_rows", "n_null", "n_distinct")
 
 
+@query()
+def table_profile_all(spark, base):
+    """Every column of the ledger: type, rows, nulls, distinct values, lowest and highest value."""
+    return describe.profile(table(spark, base, "expenditures"))
+
+
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value) * 100, 0) / 100 AS total FROM events GROUP BY 1, 2")
 def event_payloads(spark, base):
     """JSON text read by its schema; the fields are columns from there on."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tallyforge.operators import schema_drift
 from tallyforge.operators.column_profile import ColumnRule, findings, footers, load_profile, value_counts
@@ -33,14 +34,27 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return a.unionByName(findings(spark, f"{base}/salary_data.parquet", "salary_data", SALARY_RULES)).distinct()
 
 
-def p4_profile(spark: SparkSession, base: str) -> DataFrame:
-    """The profile itself: rows, missing and distinct values and the range of each column in each load."""
-    parts = []
+def _profiles(spark: SparkSession, base: str) -> DataFrame:
+    """The profile of each column in each load; ``low`` and ``high`` are by number for number columns, else by code point."""
+    out = None
     for name, rules in (("expenditures", LEDGER_RULES), ("salary_data", SALARY_RULES)):
+        kinds = table(spark, base, name).schema
         for r in rules:
             prof = load_profile(value_counts(spark, f"{base}/{name}.parquet", "load_id", "city", "loaded_at", r.column), r)
-            parts.append(prof.select(F.lit(name).alias("table_name"), "load_id", F.lit(r.column).alias("column_name"), "n_rows", "n_missing", "n_distinct", "n_odd", "n_out"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+            low, high = ("low", "high") if isinstance(kinds[r.column].dataType, IntegralType) else ("first", "last")
+            part = prof.select(F.lit(name).alias("table_name"), "load_id", F.lit(r.column).alias("column_name"), "n_rows", "n_missing", "n_distinct", "n_odd", "n_out", F.col(low).cast("string").alias("low"), F.col(high).cast("string").alias("high"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p4_profile(spark: SparkSession, base: str) -> DataFrame:
+    """The profile itself: rows, missing, distinct, odd and out-of-range values of each column in each load."""
+    return _profiles(spark, base).drop("low", "high")
+
+
+def p4_ranges(spark: SparkSession, base: str) -> DataFrame:
+    """The same profile with the range of each column in each load."""
+    return _profiles(spark, base)
 
 
 def p4_footers(spark: SparkSession, base: str) -> DataFrame:
@@ -93,5 +107,5 @@ P4_FOOTERS_SQL = " UNION ALL ".join(
     for t, c in (("expenditures", "load_id"), ("expenditures", "fiscal_year"), ("salary_data", "load_id"), ("salary_data", "CalYear"))
 )
 
-QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p4_found": p4_found, "p4_profile": p4_profile, "p4_footers": p4_footers}
+QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p4_found": p4_found, "p4_profile": p4_profile, "p4_ranges": p4_ranges, "p4_footers": p4_footers}
 ORACLES = {"p4_found": P4_FOUND_SQL, "p4_profile": P4_PROFILE_SQL, "p4_footers": P4_FOOTERS_SQL}

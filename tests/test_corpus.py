@@ -56,3 +56,31 @@ def test_name_queries_take_payees_beyond_ascii(spark, tmp_path):
             want[python_key(p)] = (total + w, members | {p})
     got = {r["key"]: (r["weight"], r["members"]) for r in registry.queries()["name_clusters_all"](spark, str(tmp_path)).collect()}
     assert got == {k: (round(w, 2), len(m)) for k, (w, m) in want.items()} and got["ACME DRAINS"] == (60.5, 3)
+
+
+def test_table_profile_all_has_every_column(spark, small):
+    d = pd.read_parquet(f"{small}/expenditures.parquet")
+    got = {r["column"]: r for r in registry.queries()["table_profile_all"](spark, small).collect()}
+    assert sorted(got) == sorted(d.columns) and len(got) == 27
+    for c in d.columns:
+        x = d[c].dropna()
+        assert (got[c]["n_rows"], got[c]["n_null"], got[c]["n_distinct"]) == (len(d), len(d) - len(x), x.nunique()), c
+        low, high = got[c]["low"], got[c]["high"]
+        if got[c]["type"] in ("int", "bigint", "double"):
+            assert (float(low), float(high)) == (x.min(), x.max()), c
+        elif got[c]["type"].startswith("timestamp"):
+            assert (pd.Timestamp(low), pd.Timestamp(high)) == (x.min(), x.max()), c
+        else:
+            assert (low, high) == tuple(str(v).lower() if got[c]["type"] == "boolean" else v for v in (x.min(), x.max())), c
+
+
+def test_p4_ranges_has_the_range_of_each_column_and_load(spark, small):
+    want = {}
+    for name, column in (("expenditures", "fund"), ("expenditures", "agency_canonical"), ("salary_data", "CalYear")):
+        d = pd.read_parquet(f"{small}/{name}.parquet", columns=["load_id", column]).dropna(subset=["load_id"])
+        for load, values in d.groupby("load_id")[column]:
+            x = [v for v in values.dropna() if str(v).strip()]
+            number = column == "CalYear"
+            want[name, load, column] = (str(int(min(x))), str(int(max(x)))) if x and number else (min(x), max(x)) if x else (None, None)
+    got = {(r["table_name"], r["load_id"], r["column_name"]): (r["low"], r["high"]) for r in registry.queries()["p4_ranges"](spark, small).collect()}
+    assert got == want
