@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 #: Up to so many prefixes are compiled into one expression; more are joined by prefix length.
 MAX_COMPILED_PREFIXES = 200
+#: So many prefixes are taken to the driver; more are an error.
+MAX_PREFIXES = 100_000
+
+
+def prefix_rows(chains: DataFrame) -> list[tuple[str, str]]:
+    """(prefix, canonical) of a prefix map in file order, at most ``MAX_PREFIXES`` of them (checked)."""
+    rows = chains.select("prefix", "canonical").limit(MAX_PREFIXES + 1).collect()
+    if len(rows) > MAX_PREFIXES:
+        raise ValueError(f"more than {MAX_PREFIXES} prefixes; label in parts")
+    return [(r["prefix"], r["canonical"]) for r in rows if r["prefix"] is not None]
 
 
 def dedupe_map(pairs: list[tuple[str, str]], case_insensitive: bool) -> list[tuple[str, str]]:

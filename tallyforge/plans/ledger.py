@@ -184,7 +184,7 @@ def value_weights(spark, base):
 @query("""SELECT line_id, CASE WHEN payee IS NULL THEN NULL ELSE coalesce(""" + "{chain}" + """, payee) END AS label FROM expenditures""")
 def canonical_payees(spark, base):
     """Prefix map in file order, any case; what no prefix fits keeps its own name."""
-    pre = [(r["prefix"], r["canonical"]) for r in table(spark, base, "payee_prefix_map").limit(derive.MAX_COMPILED_PREFIXES).collect()]
+    pre = derive.prefix_rows(table(spark, base, "payee_prefix_map"))
     return derive.canonicalize(ledger(spark, base).select("line_id", "payee"), "payee", "label", prefixes=pre, case_insensitive=True).select("line_id", "label")
 
 

@@ -3,9 +3,11 @@
 import re
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
+from tallyforge.operators import derive
 from tallyforge.plans import registry
 
 ODD = ["a\u00a0\u2003b", "\u3000x \u2028\ty\u0085", "z\u200b \u200bz", "\x1c\x1fq\x0b\x0cr", "Привет  \n мир", "\ufeff a", "", " \u00a0\n ", None, "<|endoftext|>  ok"]
@@ -84,3 +86,15 @@ def test_p4_ranges_has_the_range_of_each_column_and_load(spark, small):
             want[name, load, column] = (str(int(min(x))), str(int(max(x)))) if x and number else (min(x), max(x)) if x else (None, None)
     got = {(r["table_name"], r["load_id"], r["column_name"]): (r["low"], r["high"]) for r in registry.queries()["p4_ranges"](spark, small).collect()}
     assert got == want
+
+
+def test_canonical_payees_takes_every_prefix(spark, tmp_path, monkeypatch):
+    chains = [(f"Shop {k:03} ", f"Chain {k}") for k in range(300)] + [("SHOP 250 x", "later"), (None, "none")]
+    spark.createDataFrame(chains, "prefix string, canonical string").coalesce(1).write.parquet(f"{tmp_path}/payee_prefix_map.parquet")
+    payees = ["shop 250 xy", "Shop 003 #1", "Shop 299 ", "Shop 2", None]
+    spark.createDataFrame(list(enumerate(payees)), "line_id long, payee string").write.parquet(f"{tmp_path}/expenditures.parquet")
+    query = registry.queries()["canonical_payees"]
+    assert {r["line_id"]: r["label"] for r in query(spark, str(tmp_path)).collect()} == {0: "Chain 250", 1: "Chain 3", 2: "Chain 299", 3: "Shop 2", 4: None}
+    monkeypatch.setattr(derive, "MAX_PREFIXES", 100)
+    with pytest.raises(ValueError):
+        query(spark, str(tmp_path))
