@@ -1,12 +1,14 @@
 """Column-level quality profile of loads.
 
-The counts of values per load come from three places, the cheapest that is exact:
+The counts of values per load come from two places, the cheaper that is exact:
 
 1. the footers: a row group of one load whose column is all null, or whose integer minimum and maximum are equal, has
    its value counts in its footer, and its file isn't read when all its chunks are like that;
-2. the dictionaries: elsewhere the distinct candidates are the dictionary-encoded values of the load, counted by Spark's
-   columnar reader with a map-side aggregation, so one hot load never meets in one task;
-3. everything else (patterns, ranges, shares) is computed on the distinct values with their counts, not on rows.
+2. the data: every other file is scanned whole and its values are counted per load, with a map-side aggregation, so
+   one hot load never meets in one task.  No dictionary page is read for distinct candidates, one row group that doesn't
+   suffice has its whole file scanned, and null counts of text columns in footers aren't used.
+
+Everything else (patterns, ranges, shares) is computed on the distinct values with their counts, not on rows.
 
 Defined results: a value is missing if null, empty or blank (any Unicode white space); repeated rows count as often as
 they come; an empty table gives an empty profile; a load without a load id has no place in the order and is left out;
