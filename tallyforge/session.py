@@ -35,8 +35,20 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work in Python that a few small files would leave to few.
+
+    Tables of more partitions than that, as all large ones are, stay as they are: nothing is shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset (tests, local runs)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset and the session is local.
+
+    On a cluster an unset folder is an error: what one machine keeps for itself, the others can't read.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -44,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallyforge-", dir=os.environ.get("TMPDIR")))
     return sc.getCheckpointDir()
 
