@@ -10,8 +10,10 @@ the item's words, weighted by how few items have them, that the document holds i
 Normalisation: mark-up removed, compatibility forms and case folded, accents, invisible characters and punctuation
 removed, look-alike letters replaced; white space parts words.
 
-The automaton grows with the items, not the corpus; ``max_item_words`` is the checked bound of what is sent to the
-workers, more items are searched in several passes over parts of them.
+The automaton grows with the words of the items, not the corpus: which items hold a state is one interval of the
+order in which the tree of suffix links is walked, not a list per state.  The items are an evaluation set that the
+driver holds; a worker gets at most ``max_item_words`` words of them at once, and more items are searched in several
+passes over parts of them.  Weights and stock phrases are those of all items in every pass, so the rows are the same.
 
 Defined results: null, empty and blank texts leak nothing; items without words are found nowhere; equal items are each
 reported; repeated documents give each pair once; an empty table on either side gives no rows; only the id and text
@@ -24,11 +26,16 @@ import html
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import spread
+
 #: Letters that look like Latin ones (fixed values).
 LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "һ": "h", "ӏ": "l", "ԛ": "q", "ԝ": "w",
@@ -55,29 +62,63 @@ def words(text) -> list[str]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over word sequences; ``mask[s]`` has the bits of the items that hold state s."""
+    """Generalised suffix automaton over word sequences; ``mask(s)`` has the bits of the items that hold state s."""
 
     def __init__(self, items: list[list[str]]):
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.length, self.mask = [-1], [0], [0]
+        self.link, self.length = [-1], [0]
+        ends: list[tuple[int, int]] = []  # (state of a prefix, item)
         for k, seq in enumerate(items):
             last = 0
             for w in seq:
                 last = self._extend(last, w)
-                s, bit = last, 1 << k
-                while s > 0 and not self.mask[s] & bit:
-                    self.mask[s] |= bit
-                    s = self.link[s]
-
-    def _new(self, length: int, link: int, nxt: dict, mask: int) -> int:
+                ends.append((last, k))
+        self._number(ends)
+
+    def _number(self, ends: list[tuple[int, int]]) -> None:
+        """Puts the items of prefixes in the order of a walk over the suffix links: a state's items are one interval."""
+        n = len(self.link)
+        below = np.zeros(n + 1, np.int64)
+        for s, _ in ends:
+            below[s] += 1
+        by_length = sorted(range(1, n), key=self.length.__getitem__, reverse=True)
+        for s in by_length:
+            below[self.link[s]] += below[s]
+        own = below.copy()
+        for s in by_length:
+            own[self.link[s]] -= below[s]
+        self.first, self.size = np.zeros(n, np.int64), below[:n]
+        free = own.copy()  # where the next child's interval begins, behind the state's own prefixes
+        for s in reversed(by_length):
+            p = self.link[s]
+            self.first[s] = self.first[p] + free[p]
+            free[p] += below[s]
+        self.order = np.zeros(len(ends), np.int32)
+        put = self.first.copy()
+        for s, k in ends:
+            self.order[put[s]] = k
+            put[s] += 1
+        self.known: dict[int, int] = {}
+
+    def mask(self, s: int) -> int:
+        m = self.known.get(s)
+        if m is None:
+            if len(self.known) >= 20_000:
+                self.known.clear()
+            m = 0
+            for k in np.unique(self.order[self.first[s] : self.first[s] + self.size[s]]).tolist():
+                m |= 1 << k
+            self.known[s] = m
+        return m
+
+    def _new(self, length: int, link: int, nxt: dict) -> int:
         self.next.append(nxt)
         self.link.append(link)
         self.length.append(length)
-        self.mask.append(mask)
         return len(self.next) - 1
 
     def _clone(self, p: int, w: str, q: int) -> int:
-        c = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]), self.mask[q])
+        c = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
         self.link[q] = c
         while p != -1 and self.next[p].get(w) == q:
             self.next[p][w] = c
@@ -87,7 +128,7 @@ class SuffixAutomaton:
     def _extend(self, last: int, w: str) -> int:
         if (q := self.next[last].get(w)) is not None:
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q)
-        cur = self._new(self.length[last] + 1, 0, {}, 0)
+        cur = self._new(self.length[last] + 1, 0, {})
         p = last
         while p != -1 and w not in self.next[p]:
             self.next[p][w] = cur
@@ -106,14 +147,14 @@ class SuffixAutomaton:
                 s, n = t, n + 1
                 continue
             if n >= least:
-                yield i - n, i, self.mask[s]
+                yield i - n, i, self.mask(s)
             while s and w not in nxt[s]:
                 s = link[s]
                 n = length[s]
             t = nxt[s].get(w)
             s, n = (t, n + 1) if t is not None else (0, 0)
         if n >= least:
-            yield len(seq) - n, len(seq), self.mask[s]
+            yield len(seq) - n, len(seq), self.mask(s)
 
     def held(self, seq: list[str], least: int):
         """For each word of seq: {length: mask of the items whose longest run that ends here is so long}, from ``least`` words."""
@@ -127,7 +168,7 @@ class SuffixAutomaton:
             s, n = (t, n + 1) if t is not None else (0, 0)
             at, x, m, seen = {}, s, n, 0
             while m >= least:
-                if own := self.mask[x] & ~seen:
+                if own := self.mask(x) & ~seen:
                     at[m] = own
                     seen |= own
                 x = link[x]
@@ -154,36 +195,51 @@ def _bits(mask: int):
         mask &= mask - 1
 
 
+STOCK_WORDS, STOCK_ITEMS = 6, 4
+
+
+class Common:
+    """What the items have in common: weights of their words, and their stock phrases as an automaton of their own.
+
+    A stock phrase is a run of ``STOCK_WORDS`` words or more that ``STOCK_ITEMS`` items hold; only the parts of the items
+    that such runs cover are kept.
+    """
+
+    def __init__(self, seqs: list[list[str]]):
+        df = Counter(w for s in seqs for w in set(s))
+        self.weight = {w: math.log((len(seqs) + 1) / c) for w, c in df.items()}
+        held = Counter(g for s in seqs for g in {tuple(s[i : i + STOCK_WORDS]) for i in range(len(s) - STOCK_WORDS + 1)})
+        self.grams = {g for g, n in held.items() if n >= STOCK_ITEMS}
+        parts: list[list[str]] = []
+        for s in seqs:
+            parts.append([w if x else "\n" for w, x in zip(s, self.covered(s))])  # no text has such a word
+        self.auto = SuffixAutomaton(parts)
+
+    def covered(self, seq: list[str]) -> list[bool]:
+        """Which words of an item belong to stock phrases."""
+        out = [False] * len(seq)
+        for i in range(len(seq) - STOCK_WORDS + 1):
+            if tuple(seq[i : i + STOCK_WORDS]) in self.grams:
+                out[i : i + STOCK_WORDS] = [True] * STOCK_WORDS
+        return out
+
+
 class LeakIndex:
-    """The items, their automaton and their words' weights."""
+    """The items, their automaton and their words' weights; ``common`` is of more items if these are a part of them."""
 
-    def __init__(self, items: list[tuple[int, str]], passage: int = 18, least_run: int = 3, cover: float = 0.3, share: float = 0.62, stock_phrase: int = 12, shortest_longest: int = 5):
+    def __init__(self, items: list[tuple[int, str]], passage: int = 18, least_run: int = 3, cover: float = 0.3, share: float = 0.62, stock_phrase: int = 12, shortest_longest: int = 5, common: Common | None = None):
         seqs = [(i, words(t)) for i, t in items]
         self.ids = [i for i, s in seqs if s]
         self.seqs = [s for _, s in seqs if s]
         self.passage, self.least_run, self.cover, self.share, self.stock_phrase = passage, least_run, cover, share, stock_phrase
         self.shortest_longest = shortest_longest
         self.least_whole = max(least_run, min([passage, *map(len, self.seqs)]))
-        df = Counter(w for s in self.seqs for w in set(s))
-        n = len(self.seqs)
-        self.weight = {w: math.log((n + 1) / c) for w, c in df.items()}
+        self.common = common or Common(self.seqs)
+        self.weight = self.common.weight
         self.auto = SuffixAutomaton(self.seqs)
-        self.stock = [self._stock(s) for s in self.seqs]
-        self.bags = [Counter(w for w, x in zip(s, m) if not x) for s, m in zip(self.seqs, self.stock)]
+        self.bags = [Counter(w for w, x in zip(s, self.common.covered(s)) if not x) for s in self.seqs]
         self.totals = [sum(self.weight[w] * c for w, c in b.items()) or 1.0 for b in self.bags]
 
-    def _stock(self, seq: list[str], least: int = 6, items: int = 4) -> list[bool]:
-        """Which words belong to stock phrases: runs of ``least`` words that ``items`` items hold."""
-        out = [False] * len(seq)
-        for i in range(len(seq) - least + 1):
-            s = 0
-            for w in seq[i : i + least]:
-                if (s := self.auto.next[s].get(w, -1)) < 0:
-                    break
-            if s > 0 and self.auto.mask[s].bit_count() >= items:
-                out[i : i + least] = [True] * least
-        return out
-
     def find(self, text) -> dict[int, tuple[int, float]]:
         """Item id -> (longest run, weighted share) of the items that leak into a text."""
         seq = words(text)
@@ -215,18 +271,18 @@ class LeakIndex:
                     out[self.ids[k]] = (n, s)
         return out
 
-    def _phrases(self, seq: list[str], least: int = 6, items: int = 4) -> list[tuple[int, int]]:
-        """A document's stock phrases (start, end): maximal runs of at least ``least`` words, but no passage, that ``items`` items hold."""
+    def _phrases(self, seq: list[str]) -> list[tuple[int, int]]:
+        """A document's stock phrases (start, end): maximal ones that are no passage."""
         out = []
         before = 0
-        for i, at in enumerate([*self.auto.held(seq, least), {}]):
+        for i, at in enumerate([*self.common.auto.held(seq, STOCK_WORDS), {}]):
             now = mask = 0
             for n, own in at.items():  # the longest first
                 mask |= own
-                if mask.bit_count() >= items:
+                if mask.bit_count() >= STOCK_ITEMS:
                     now = n
                     break
-            if now != before + 1 and least <= before < self.passage:
+            if now != before + 1 and STOCK_WORDS <= before < self.passage:
                 out.append((i - before, i))
             before = now
         return out
@@ -269,63 +325,92 @@ def positions(text: str) -> list[tuple[str, int, int]]:
     return [(w, m.start(), m.end()) for m in re.finditer(r"\S+", blank) if (w := "".join(words(m.group())))]
 
 
-_INDEX: dict[int, LeakIndex] = {}
+_INDEX: dict[str, LeakIndex] = {}
 
 
-def _index(items: list[tuple[int, str]], options: dict) -> LeakIndex:
-    key = hash((tuple(items), tuple(sorted(options.items()))))
+def _index(key: str, items: list[tuple[int, str]], common: Common | None, options: dict) -> LeakIndex:
+    """The index of a pass; a worker keeps the last one it made."""
     if key not in _INDEX:
         _INDEX.clear()
-        _INDEX[key] = LeakIndex(items, **options)
+        _INDEX[key] = LeakIndex(items, common=common, **options)
     return _INDEX[key]
 
 
-def _bounded_items(items: DataFrame, item_id: str, text_col: str, max_item_words: int) -> list[tuple[int, str]]:
+def _passes(items: DataFrame, item_id: str, text_col: str, max_item_words: int) -> tuple[list[list[tuple[int, str]]], Common | None]:
+    """The items in parts of at most ``max_item_words`` words (one item at least), and what all have in common."""
     rows = items.select(F.col(item_id).alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL AND i IS NOT NULL").distinct()
-    size = rows.agg(F.sum(F.size(F.split("t", r"\s+"))).alias("n")).first()["n"] or 0
-    if size > max_item_words:
-        raise ValueError(f"{size} words of items are more than the {max_item_words} sent to each worker; search the items in parts")
-    return sorted((r["i"], r["t"]) for r in rows.collect())
-
-
-def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", max_item_words: int = 2_000_000, **options) -> DataFrame:
+    parts: list[list[tuple[int, str]]] = [[]]
+    size = 0
+    for i, t in sorted((r["i"], r["t"]) for r in rows.collect()):
+        n = len(words(t))
+        if parts[-1] and size + n > max_item_words:
+            parts.append([])
+            size = 0
+        parts[-1].append((i, t))
+        size += n
+    if len(parts) == 1:
+        return parts, None
+    return parts, Common([w for p in parts for _, t in p if (w := words(t))])
+
+
+def _searched(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col: str, max_item_words: int, options: dict, rows_of: Callable, columns: list[str], schema: str) -> DataFrame:
+    """The rows that ``rows_of(index, id, text)`` gives of every document, over all passes."""
+    texts = spread(docs.select(F.col(doc_id).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL"))
+    parts, common = _passes(items, item_id, text_col, max_item_words)
+    out = None
+    for part in parts:
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part, common))  # at most max_item_words words
+
+        def run(frames, shared=shared):
+            import pandas as pd
+
+            ix = _index(*shared.value, options)
+            for pdf in frames:
+                yield pd.DataFrame([r for d, t in zip(pdf["id"], pdf["text"]) for r in rows_of(ix, d, t)], columns=columns)
+
+        found = texts.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", max_item_words: int = 200_000, **options) -> DataFrame:
     """(doc_id, item_id, longest_run, share) of every document that repeats an item or a passage of it."""
-    known = _bounded_items(items, item_id, text_col, max_item_words)
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-
-    def run(frames):
-        import pandas as pd
-
-        ix = _index(known, options)
-        for pdf in frames:
-            rows = [(d, i, n, s) for d, t in zip(pdf["id"], pdf["text"]) for i, (n, s) in ix.find(t).items()]
-            yield pd.DataFrame(rows, columns=["id", "item", "longest_run", "share"])
-
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").mapInPandas(run, f"id {kinds[0]}, item {kinds[1]}, longest_run int, share double")
+    rows_of = lambda ix, d, t: [(d, i, n, s) for i, (n, s) in ix.find(t).items()]
+    found = _searched(docs, items, doc_id, item_id, text_col, max_item_words, options, rows_of, ["id", "item", "longest_run", "share"], f"id {kinds[0]}, item {kinds[1]}, longest_run int, share double")
     best = found.groupBy("id", "item").agg(F.max("longest_run").alias("longest_run"), F.max("share").alias("share"))
     return best.select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "longest_run", "share")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", max_item_words: int = 2_000_000, **options) -> DataFrame:
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", max_item_words: int = 200_000, **options) -> DataFrame:
     """(doc_id, text, removed) of the documents with leaks: the text without the leaked spans, and how many characters went."""
-    known = _bounded_items(items, item_id, text_col, max_item_words)
     kind = docs.schema[doc_id].dataType.simpleString()
+    rows_of = lambda ix, d, t: [(d, t, [list(x) for x in cuts])] if (cuts := ix.spans(t)) else []
+    found = _searched(docs, items, doc_id, item_id, text_col, max_item_words, options, rows_of, ["id", "text", "cuts"], f"id {kind}, text string, cuts array<array<int>>")
+    passes = found.groupBy("id", "text").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))  # one list per pass
 
-    def run(frames):
+    def cut(frames):
         import pandas as pd
 
-        ix = _index(known, options)
         for pdf in frames:
             rows = []
-            for d, t in zip(pdf["id"], pdf["text"]):
-                cuts = ix.spans(t)
-                if cuts:
-                    at, keep = 0, []
-                    for a, b in cuts:
-                        keep.append(t[at:a])
-                        at = b
-                    rows.append((d, "".join(keep) + t[at:], sum(b - a for a, b in cuts)))
+            for d, t, spans in pdf.itertuples(index=False, name=None):
+                at, keep, gone = 0, [], 0
+                for a, b in joined([(int(x[0]), int(x[1])) for x in spans]):
+                    keep.append(t[at:a])
+                    at, gone = b, gone + b - a
+                rows.append((d, "".join(keep) + t[at:], gone))
             yield pd.DataFrame(rows, columns=["id", "text", "removed"])
 
-    out = docs.select(F.col(doc_id).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").mapInPandas(run, f"id {kind}, text string, removed long")
-    return out.withColumnRenamed("id", doc_id)
+    return passes.mapInPandas(cut, f"id {kind}, text string, removed long").withColumnRenamed("id", doc_id)

@@ -72,8 +72,30 @@ def test_operator(spark, items):
     assert L.leaks(d.where("false"), it).count() == 0 and L.leaks(d, it.where("false")).count() == 0
     cut = {r["doc_id"]: r["text"] for r in L.without_leaks(d, it).collect()}
     assert cut[1].strip(" .") == "" and len(cut[4].split()) == 20000
-    with pytest.raises(ValueError):
-        L.leaks(d, it, max_item_words=10)
+    for most in (1, 90):  # several passes over parts of the items
+        assert {(r["doc_id"], r["item_id"]) for r in L.leaks(d, it, max_item_words=most).collect()} == got
+        assert {r["doc_id"]: r["text"] for r in L.without_leaks(d, it, max_item_words=most).collect()} == cut
+
+
+def test_passes_see_the_same_stock_phrases():
+    rnd = random.Random(8)
+    stock = "be it ordained by the council of this city as it follows".split()
+    items = [(k, " ".join(stock + sentence(rnd, 25))) for k in range(9)]
+    seqs = [L.words(t) for _, t in items]
+    common = L.Common(seqs)
+    texts = [" ".join(seqs[2][:18]), " ".join(seqs[2][4:24]), " ".join(stock * 3), " ".join(seqs[5]), " ".join(seqs[1][:14] + seqs[3][14:40])]
+    whole = L.LeakIndex(items)
+    for t in texts:
+        parts = {}
+        for k in range(0, 9, 2):
+            parts |= L.LeakIndex(items[k : k + 2], common=common).find(t)
+        assert parts == whole.find(t)
+
+
+def test_memory_grows_with_the_words():
+    rnd = random.Random(9)
+    size = lambda n: len((a := L.SuffixAutomaton([sentence(rnd, 60) for _ in range(n)])).order) / len(a.link)
+    assert abs(size(50) - size(400)) < 0.2 and not L.SuffixAutomaton([["a"]]).known
 
 
 def test_own_runs_of_each_item_equal_brute_force():
