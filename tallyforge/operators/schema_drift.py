@@ -4,30 +4,36 @@
    value classes (date, year, money, integer, code, text), and bottom-k sketches of values and of words.  Partial
    profiles are made per partition and merged in two steps, so a file or feed with a third of all records is only merged
    as a few sketches.
-2. Per feed, neighbouring files are matched by similarity flooding: pairs of fields are the nodes of a propagation
-   graph whose edges come from shared name tokens, value classes, the common parent and the order in the record; scores
-   start from names and values and flow until they converge.  A stable matching over fields that went and fields that
-   came gives the renames; the direct evidence of a pair decides whether it is accepted.
+2. Per feed, neighbouring files are matched by similarity flooding.  Each schema is a graph: fields with their name
+   tokens, their values, their value classes, the object they are nested in and their neighbours in the record.  Pairs of
+   nodes of both graphs are the propagation graph; it starts with what is known of tokens, values and classes, and
+   scores flow between the pairs until they converge.  A field pair itself starts with its name alone: what its
+   values, types, nesting and neighbours say reaches it by the flow.  Fields that keep their name anchor the flow.  A
+   rename is a pair of a field that went and one that came with a converged score of at least ``ACCEPT``, selected so
+   that no field is used twice and no two left over like each other better (stable matching).
 3. Each field's names over time form a lineage; lineages are matched against the target schema, and records are cast
    and united.
 
 Defined results: records that are null or no JSON object carry no fields; a field that is null everywhere keeps the
 kind and the profile it had; ties in the kind keep the kind before, else string before decimal before integer; repeated
-records count as often as they come; a feed of one file and an empty table give no changes; nested values are fields of
-kind ``nested`` and are kept as JSON text.
+records count as often as they come; a feed of one file and an empty table give no changes; a nested object is a field of
+kind ``nested``, and the fields inside of it are fields too, named by their path (``a.b``); lists are values.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import spread
+
 SKETCH = 64
 KINDS = ("string", "decimal", "integer", "nested")
 CLASSES = ("date", "year", "money", "int", "code", "text", "nested")
@@ -40,7 +46,7 @@ DAY_MS = 86_400_000
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
 def classify(value) -> tuple[str, str]:
@@ -110,36 +116,87 @@ def parse_record(text) -> dict:
     return o if isinstance(o, dict) else {}
 
 
+def flat(o: dict, prefix: str = "", depth: int = 8) -> dict:
+    """The fields of an object, those of nested objects by their path behind their own."""
+    out = {}
+    for k, v in o.items():
+        out[prefix + k] = v
+        if isinstance(v, dict) and depth:
+            out |= flat(v, f"{prefix}{k}.", depth - 1)
+    return out
+
+
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def traits(value) -> tuple[int, int, float | None, int, tuple[int, ...]]:
+    """(kind, class, logarithm of an amount, hash of the value, hashes of its words)."""
+    cls, canon = classify(value)
+    size = math.log10(abs(x)) if cls == "money" and (x := float(canon)) else None
+    return _kind(value), CLASSES.index(cls), size, _hash(canon), tuple(_hash(w) for w in _WORDS.findall(canon)) if cls in ("text", "code", "nested") else ()
+
+
+class Tally:
+    """What is counted of one field; sketches hold the least hashes."""
+
+    __slots__ = ("pos", "n", "kinds", "classes", "log_sum", "log_n", "vals", "words", "cut_v", "cut_w")
+
+    def __init__(self):
+        self.pos, self.n, self.log_sum, self.log_n = 0.0, 0, 0.0, 0
+        self.kinds, self.classes = [0] * len(KINDS), [0] * len(CLASSES)
+        self.vals: set[int] = set()
+        self.words: set[int] = set()
+        self.cut_v = self.cut_w = 1 << 63
+
+    def add(self, t: tuple) -> None:
+        kind, cls, size, value, words = t
+        self.kinds[kind] += 1
+        self.classes[cls] += 1
+        if size is not None:
+            self.log_sum += size
+            self.log_n += 1
+        if value < self.cut_v:
+            self.vals.add(value)
+            if len(self.vals) >= 4 * SKETCH:
+                self.vals = set(sorted(self.vals)[:SKETCH])
+                self.cut_v = max(self.vals)
+        for w in words:
+            if w < self.cut_w:
+                self.words.add(w)
+                if len(self.words) >= 4 * SKETCH:
+                    self.words = set(sorted(self.words)[:SKETCH])
+                    self.cut_w = max(self.words)
+
+    def row(self) -> tuple:
+        return self.pos, self.n, self.kinds, self.classes, self.log_sum, self.log_n, sorted(self.vals)[:SKETCH], sorted(self.words)[:SKETCH]
+
+
 def profiles(records: DataFrame) -> DataFrame:
     """One profile per feed, file and field of ``records`` (feed, file_name, file_seq, record)."""
 
     def run(frames):
-        import pandas as pd
-
-        acc: dict[tuple, list] = {}
+        acc: dict[tuple, Tally] = {}
+        seen: dict = {}
         for pdf in frames:
-            for feed, name, seq, rec in pdf.itertuples(index=False, name=None):
-                for k, (f, v) in enumerate(parse_record(rec).items()):
+            for feed, name, seq, rec in zip(pdf["feed"], pdf["file_name"], pdf["file_seq"], pdf["record"]):
+                for k, (f, v) in enumerate(flat(parse_record(rec)).items()):
                     key = (feed, seq, name, f)
                     a = acc.get(key)
                     if a is None:
-                        a = acc[key] = [0.0, 0, [0] * len(KINDS), [0] * len(CLASSES), 0.0, 0, set(), set()]
-                    a[0] += k
-                    a[1] += 1
+                        a = acc[key] = Tally()
+                    a.pos += k
+                    a.n += 1
                     if v is None:
                         continue
-                    a[2][_kind(v)] += 1
-                    cls, canon = classify(v)
-                    a[3][CLASSES.index(cls)] += 1
-                    if cls == "money" and float(canon):
-                        a[4] += math.log10(abs(float(canon)))
-                        a[5] += 1
-                    a[6].add(_hash(canon))
-                    if cls in ("text", "code", "nested"):
-                        a[7].update(_hash(w) for w in re.findall(r"[^\W\d_]+", canon))
-                    for s in (6, 7):
-                        if len(a[s]) > 16 * SKETCH:
-                            a[s] = set(sorted(a[s])[:SKETCH])
+                    if isinstance(v, (dict, list)):
+                        a.add(traits(v))
+                        continue
+                    t = seen.get((type(v), v))
+                    if t is None:
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        t = seen[(type(v), v)] = traits(v)
+                    a.add(t)
             if len(acc) > 20_000:
                 yield _rows(acc)
                 acc = {}
@@ -149,12 +206,9 @@ def profiles(records: DataFrame) -> DataFrame:
     def _rows(acc):
         import pandas as pd
 
-        return pd.DataFrame(
-            [(*k, a[0], a[1], a[2], a[3], a[4], a[5], sorted(a[6])[:SKETCH], sorted(a[7])[:SKETCH]) for k, a in acc.items()],
-            columns=["feed", "file_seq", "file_name", "field", "pos", "n", "kinds", "classes", "log_sum", "log_n", "vals", "words"],
-        )
+        return pd.DataFrame([(*k, *a.row()) for k, a in acc.items()], columns=["feed", "file_seq", "file_name", "field", "pos", "n", "kinds", "classes", "log_sum", "log_n", "vals", "words"])
 
-    parts = records.select("feed", "file_name", F.col("file_seq").cast("int"), "record").where("feed IS NOT NULL AND file_seq IS NOT NULL").mapInPandas(run, PROFILE)
+    parts = spread(records.select("feed", "file_name", F.col("file_seq").cast("int"), "record").where("feed IS NOT NULL AND file_seq IS NOT NULL")).mapInPandas(run, PROFILE)
     keys = ["feed", "file_seq", "file_name", "field"]
 
     def merged(df: DataFrame, by: list[str]) -> DataFrame:
@@ -252,76 +306,111 @@ def value_sim(a: Field, b: Field) -> float | None:
     return shared * min(1.0, 0.65 + vals * 3)
 
 
-def flood(left: list[Field], right: list[Field], rounds: int = 50, eps: float = 1e-3) -> list[list[float]]:
-    """Similarity flooding over all pairs of two schemas; scores are relative to the best pair."""
+#: Weights with which a field pair takes scores from pairs of values, name tokens, value classes, parents and neighbours.
+FLOW = {"values": 0.6, "names": 0.2, "classes": 0.1, "parents": 0.04, "order": 0.06}
+#: How much of a pair's score comes by the flow, the rest is what it starts with.
+DAMPING = 0.3
+#: The converged score from which a field that went and one that came are one.
+ACCEPT = 0.37
+
+
+def _members(lists: list[list], items: list) -> np.ndarray:
+    """Fields x items, 1 where the field has the item."""
+    at = {x: k for k, x in enumerate(items)}
+    out = np.zeros((len(lists), len(items)))
+    for i, xs in enumerate(lists):
+        for x in xs:
+            out[i, at[x]] = 1.0
+    return out
+
+
+def _best(tokens: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Fields x fields: how well the tokens of each find a partner among the other's, mean of both directions."""
+    to_right = np.stack([tokens[:, r > 0].max(axis=1) if (r > 0).any() else np.zeros(len(tokens)) for r in right], axis=1)
+    to_left = np.stack([tokens[x > 0].max(axis=0) if (x > 0).any() else np.zeros(tokens.shape[1]) for x in left], axis=0)
+    nl, nr = np.maximum(left.sum(axis=1), 1)[:, None], np.maximum(right.sum(axis=1), 1)[None, :]
+    return ((left @ to_right) / nl + (to_left @ right.T) / nr) / 2
+
+
+def parent_of(name: str) -> str:
+    return name.rpartition(".")[0]
+
+
+def flood(left: list[Field], right: list[Field], rounds: int = 60, eps: float = 1e-3) -> np.ndarray:
+    """Similarity flooding over two schema graphs: the converged score in [0, 1] of every pair of their fields.
+
+    ``rounds`` 0 gives what the field pairs start with, their names.
+    """
     nl, nr = len(left), len(right)
-    pairs = [(i, j) for i in range(nl) for j in range(nr)]
-    at = {p: k for k, p in enumerate(pairs)}
-    start = []
-    for i, j in pairs:
-        v = value_sim(left[i], right[j])
-        n = name_sim(left[i].name, right[j].name)
-        start.append(0.5 * n + 0.5 * (n if v is None else v))
-    # edges: name tokens and value classes are nodes of both schemas; field pairs send scores to each other through
-    # pairs of these nodes, through the common parent, and to the pairs of their neighbours in the record
-    hubs: dict[tuple, list[tuple[int, float]]] = {}
-    for k, (i, j) in enumerate(pairs):
-        for x in name_tokens(left[i].name):
-            for y in name_tokens(right[j].name):
-                if (s := token_sim(x, y)) > 0:
-                    hubs.setdefault(("token", x, y), []).append((k, s))
-        for c in range(len(CLASSES)):
-            if left[i].filled and right[j].filled:
-                s = min(left[i].classes[c] / left[i].filled, right[j].classes[c] / right[j].filled)
-                if s > 0.2:
-                    hubs.setdefault(("class", c), []).append((k, s))
-        hubs.setdefault(("parent",), []).append((k, 0.2))
-    ol, orr = (sorted(range(len(f)), key=lambda i, f=f: f[i].pos) for f in (left, right))
-    order: list[tuple[int, int]] = []
-    for a, b in zip(ol, ol[1:]):
-        for c, d in zip(orr, orr[1:]):
-            order += [(at[a, c], at[b, d]), (at[b, d], at[a, c])]
-    score = list(start)
+    if not nl or not nr:
+        return np.zeros((nl, nr))
+    words_l, words_r = [name_tokens(f.name) for f in left], [name_tokens(f.name) for f in right]
+    all_l, all_r = (sorted({w for ws in x for w in ws}) for x in (words_l, words_r))
+    in_l, in_r = _members(words_l, all_l), _members(words_r, all_r)
+    token0 = np.array([[token_sim(x, y) for y in all_r] for x in all_l]).reshape(len(all_l), len(all_r))
+    value0 = np.array([[-1.0 if (v := value_sim(a, b)) is None else v for b in right] for a in left]).reshape(nl, nr)
+    valued = value0 >= 0
+    hist_l, hist_r = (np.array([[c / max(1, f.filled) for c in f.classes] for f in x]).reshape(len(x), len(CLASSES)) for x in (left, right))
+    par_l, par_r = [parent_of(f.name) for f in left], [parent_of(f.name) for f in right]
+    ups_l, ups_r = sorted(set(par_l)), sorted(set(par_r))
+    up_l, up_r = _members([[x] for x in par_l], ups_l), _members([[x] for x in par_r], ups_r)
+    parent0 = np.array([[1.0 if x == y else 0.5 * name_sim(x, y) if x and y else 0.0 for y in ups_r] for x in ups_l])
+    next_l, next_r = (np.argsort([f.pos for f in x], kind="stable") for x in (left, right))
+    # a field that keeps its name is known to go on: its pair stays 1, and its row and column 0 else
+    at = {f.name: j for j, f in enumerate(right)}
+    same = [(i, at[f.name]) for i, f in enumerate(left) if f.name in at]
+    fixed_i, fixed_j = [i for i, _ in same], [j for _, j in same]
+
+    def anchored(x: np.ndarray) -> np.ndarray:
+        x[fixed_i, :] = 0.0
+        x[:, fixed_j] = 0.0
+        x[fixed_i, fixed_j] = 1.0
+        return x
+
+    weight = np.where(valued, sum(FLOW.values()), sum(FLOW.values()) - FLOW["values"] - FLOW["classes"])
+    tokens, classes, parents, values = token0, np.eye(len(CLASSES)), parent0, np.where(valued, value0, 0.0)
+    score = anchored(_best(tokens, in_l, in_r) if token0.size else np.zeros((nl, nr)))
+    share_t, share_c, share_p = np.maximum(in_l.T @ np.ones((nl, nr)) @ in_r, 1), np.maximum(hist_l.T @ np.ones((nl, nr)) @ hist_r, 1e-9), np.maximum(np.minimum(up_l.sum(axis=0)[:, None], up_r.sum(axis=0)[None, :]), 1)
     for _ in range(rounds):
-        base = [s + t for s, t in zip(start, score)]
-        flow = [0.0] * len(pairs)
-        for members in hubs.values():
-            total = sum(base[k] * s for k, s in members)
-            weight = sum(s for _, s in members)
-            for k, s in members:
-                flow[k] += s * total / (weight * max(1, len(members)))
-        for a, b in order:
-            flow[b] += base[a] * 0.25 / max(1, nl)
-        new = [b + f for b, f in zip(base, flow)]
-        top = max(new, default=1.0) or 1.0
-        new = [x / top for x in new]
-        done = max((abs(x - y) for x, y in zip(new, score)), default=0.0) < eps
+        # from field pairs to the pairs of what they have
+        tokens = np.maximum(token0, (1 - DAMPING) * token0 + DAMPING * (in_l.T @ score @ in_r) / share_t)
+        classes = (1 - DAMPING) * np.eye(len(CLASSES)) + DAMPING * (hist_l.T @ score @ hist_r) / share_c
+        parents = (1 - DAMPING) * parent0 + DAMPING * np.minimum(1.0, (up_l.T @ score @ up_r) / share_p)
+        values = np.where(valued, (1 - DAMPING) * value0 + DAMPING * score, 0.0)
+        # and back
+        near = np.zeros((nl, nr))
+        by_order = score[np.ix_(next_l, next_r)]
+        if nl > 1 and nr > 1:
+            around = np.zeros((nl, nr))
+            around[1:, 1:] += by_order[:-1, :-1]
+            around[:-1, :-1] += by_order[1:, 1:]
+            near[np.ix_(next_l, next_r)] = around / 2
+        names = _best(tokens, in_l, in_r) if token0.size else np.zeros((nl, nr))
+        flow = FLOW["values"] * values + FLOW["names"] * names + np.where(valued, FLOW["classes"] * (hist_l @ classes @ hist_r.T), 0.0) + FLOW["parents"] * (up_l @ parents @ up_r.T) + FLOW["order"] * near
+        new = anchored(flow / weight)
+        done = np.abs(new - score).max(initial=0.0) < eps
         score = new
         if done:
             break
-    return [[score[at[i, j]] for j in range(nr)] for i in range(nl)]
+    return score
 
 
-def match_renames(before: list[Field], after: list[Field], accept: float = 0.3) -> list[tuple[str, str]]:
-    """(old, new) of the fields that go on under another name."""
+def match_renames(before: list[Field], after: list[Field], accept: float = ACCEPT, rounds: int = 60) -> list[tuple[str, str]]:
+    """(old, new) of the fields that go on under another name; a name that only changes its case goes on."""
     names_b, names_a = {f.name for f in before}, {f.name for f in after}
-    gone, came = [f for f in before if f.name not in names_a], [f for f in after if f.name not in names_b]
+    gone, came = [k for k, f in enumerate(before) if f.name not in names_a], [k for k, f in enumerate(after) if f.name not in names_b]
     if not gone or not came:
         return []
-    score = flood(before, after)
-    row = {f.name: i for i, f in enumerate(before)}
-    col = {f.name: j for j, f in enumerate(after)}
+    score = flood(before, after, rounds)
     ranked = []
-    for g in gone:
-        for c in came:
-            same = g.name.casefold() == c.name.casefold()
-            v, n = value_sim(g, c), name_sim(g.name, c.name)
-            direct = (0.75 * v + 0.25 * n) if v is not None else n
-            if same or v is not None and v >= 0.4 and direct >= accept or v is None and n >= 0.55:
-                ranked.append((same, direct + score[row[g.name]][col[c.name]], g.name, c.name))
+    for i in gone:
+        for j in came:
+            same = before[i].name.casefold() == after[j].name.casefold()
+            if same or score[i, j] >= accept:
+                ranked.append((not same, -score[i, j], before[i].name, after[j].name))
     used: set = set()
     out = []
-    for _, _, g, c in sorted(ranked, key=lambda r: (not r[0], -r[1], r[2], r[3])):
+    for _, _, g, c in sorted(ranked):
         if ("l", g) not in used and ("r", c) not in used:
             used |= {("l", g), ("r", c)}
             out.append((g, c))
@@ -334,14 +423,15 @@ def _as_field(r) -> Field:
     kind = None
     if top:
         kind = KINDS[kinds.index(top)]
-    return Field(r.field, r.pos / max(1, r.n), kind, [int(c) for c in r.classes], r.log_sum / r.log_n if r.log_n else None, {int(x) for x in r.vals}, {int(x) for x in r.words})
+    return Field(r.field, r.pos / max(1, r.n), kind, [int(c) for c in r.classes], r.log_sum / r.log_n if r.log_n else None, set(r.vals.tolist()), set(r.words.tolist()))
 
 
 def feed_changes(pdf) -> list[tuple]:
     """Rows (feed, file_name, change, from, to, file_seq) of one feed's profiles, in the order of its files."""
-    files: list[tuple] = []
-    for (seq, name), g in sorted(pdf.groupby(["file_seq", "file_name"]), key=lambda x: x[0]):
-        files.append((seq, name, [_as_field(r) for r in g.itertuples(index=False)], {r.field: [int(k) for k in r.kinds] for r in g.itertuples(index=False)}))
+    by_file: dict[tuple, list] = {}
+    for r in pdf.itertuples(index=False):
+        by_file.setdefault((r.file_seq, r.file_name), []).append(r)
+    files = [(*k, [_as_field(r) for r in rows], {r.field: [int(x) for x in r.kinds] for r in rows}) for k, rows in sorted(by_file.items(), key=lambda x: x[0])]
     out: list[tuple] = []
     state: dict[str, Field] = {}
     feed = pdf["feed"].iloc[0] if len(pdf) else None
@@ -425,9 +515,12 @@ def lineages(pdf) -> list[list[tuple[str, str]]]:
     ren = {(r[1], r[4]): r[3] for r in rows if r[2] == "renamed"}
     out: list[list[tuple[str, str]]] = []
     state: dict[str, list] = {}
-    for (_, name), g in sorted(pdf.groupby(["file_seq", "file_name"]), key=lambda x: x[0]):
+    by_file: dict[tuple, list] = {}
+    for seq, name, f in zip(pdf["file_seq"], pdf["file_name"], pdf["field"]):
+        by_file.setdefault((seq, name), []).append(f)
+    for (_, name), fields in sorted(by_file.items()):
         now = {}
-        for f in g["field"]:
+        for f in fields:
             line = state.get(ren.get((name, f), f))
             if line is None:
                 line = []
@@ -484,11 +577,11 @@ def unify(records: DataFrame, keep: list[str], targets: tuple[Target, ...] = LED
             cols: dict[str, list] = {t.name: [] for t in targets}
             rest = []
             for rec, names in zip(pdf["_record"], pdf["_names"]):
-                o, m = parse_record(rec), dict(names) if names is not None else {}
+                o, m = flat(parse_record(rec)), dict(names) if names is not None else {}
                 got = {m[k]: v for k, v in o.items() if k in m}
                 for t in targets:
                     cols[t.name].append(cast_value(got.get(t.name), t.type))
-                rest.append(json.dumps({k: v for k, v in sorted(o.items()) if k not in m}, ensure_ascii=False))
+                rest.append(json.dumps({k: v for k, v in sorted(o.items()) if k not in m and not (parent_of(k) and parent_of(k) not in m)}, ensure_ascii=False))
             out = pdf[keep].copy()
             for t in targets:
                 out[t.name] = pd.array(cols[t.name], dtype="Int32") if t.type == "int" else pd.Series(cols[t.name], index=out.index, dtype="object" if t.type != "double" else "float64")

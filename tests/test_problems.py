@@ -55,7 +55,7 @@ def test_single_odd_values_and_empty_fields_change_no_kind(spark):
 
 def test_odd_records_and_empty_tables(spark):
     files = [[None, "not json", "[1]", {"a": 1}], [{"a": 1, "b": {"c": [1]}}, {"a": True}]]
-    assert changes(spark, files) == [("y2.json", "added", "", "b")]
+    assert changes(spark, files) == [("y2.json", "added", "", "b"), ("y2.json", "added", "", "b.c")]
     none = spark.createDataFrame([], REC)
     assert D.changes(none).count() == 0 and D.unify(none, ["raw_id"]).count() == 0
 
@@ -69,6 +69,49 @@ def test_unified_ledger(spark):
     assert got[3] == (2002, 7.5, "Acme Paving Inc", '{"x": 1}')
 
 
+def test_fields_inside_of_objects(spark):
+    a, b = ([{"id": k, "party": {n: f"{w} Paving {k % 5} Inc", "town": f"Town {k % 3}"}} for k in range(20)] for n, w in (("payee", "Acme"), ("vendor_name", "Acme")))
+    assert changes(spark, [a, b]) == [("y2.json", "renamed", "party.payee", "party.vendor_name")]
+    moved = [{"id": k, "party": {"vendor_name": f"Acme Paving {k % 5} Inc", "town": k % 3}} for k in range(20)]
+    assert changes(spark, [b, moved]) == [("y2.json", "retyped", "party.town", "party.town")]
+    df = D.unify(spark.createDataFrame(feed([b]), REC), ["raw_id"])
+    assert {r["payee"] for r in df.collect()} == {f"Acme Paving {k} Inc" for k in range(5)}
+
+
+def fields(files):
+    """The fields of files of one feed, as the matcher sees them."""
+    out = []
+    for recs in files:
+        acc = {}
+        for o in recs:
+            for k, (f, v) in enumerate(D.flat(o).items()):
+                t = acc.setdefault(f, D.Tally())
+                t.pos += k
+                t.n += 1
+                if v is not None:
+                    t.add(D.traits(v))
+        out.append([D.Field(f, t.pos / t.n, None, t.classes, t.log_sum / t.log_n if t.log_n else None, t.vals, t.words) for f, t in acc.items()])
+    return out
+
+
+def test_the_flow_decides_renames():
+    """What field pairs start with, their names, finds none of these; the flow from values, types and neighbours does."""
+    rnd = random.Random(3)
+    rec = lambda who, day, sum_: [{who: f"{rnd.choice(['Acme', 'Bolt', 'Core'])} Paving Inc", day: f"2020-0{rnd.randint(1, 9)}-11", sum_: round(rnd.uniform(1, 9e3), 2), "note": "x y"} for _ in range(25)]
+    before, after = fields([rec("payee", "payment_date", "extended_amount"), rec("supplier", "settled", "charge")])
+    want = [("extended_amount", "charge"), ("payee", "supplier"), ("payment_date", "settled")]
+    assert sorted(D.match_renames(before, after)) == want
+    assert D.match_renames(before, after, rounds=0) == []
+    scores = D.flood(before, after)
+    assert scores.shape == (4, 4) and scores.max() == 1.0 and scores.min() >= 0.0
+
+
+def test_flooding_converges_whatever_the_rounds():
+    before, after = fields([[{"a_b": 1, "c": "x"}], [{"a": 2, "c": "x", "d.e": None}]])
+    assert abs(D.flood(before, after, rounds=60) - D.flood(before, after, rounds=600)).max() < 1e-2
+    assert D.flood([], after).shape == (0, 3) and D.match_renames([], after) == [] == D.match_renames(before, [])
+
+
 def test_flooding_prefers_the_like_field():
     f = lambda name, pos, cls: D.Field(name, pos, "string", cls, None)
     left = [f("payment_date", 0, [9, 0, 0, 0, 0, 0, 0]), f("payment_void_date", 1, [9, 0, 0, 0, 0, 0, 0])]
