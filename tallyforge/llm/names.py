@@ -98,6 +98,16 @@ class Name:
         return len(self.trades) == 1 and len(self.names) > 1 and not self.broken
 
 
+    def packed(self) -> str:
+        """The parts in one text, so that a name is parsed once and travels with its pairs."""
+        return "\x1f".join((self.kind, " ".join(self.names), " ".join(sorted(self.trades)), self.number, " ".join(sorted(self.given)), self.middle, self.legal, "1" if self.broken else ""))
+
+    @classmethod
+    def unpacked(cls, text: str) -> Name:
+        kind, words, trades, number, given, middle, legal, broken = text.split("\x1f")
+        return cls(kind, tuple(words.split()), frozenset(trades.split()), number, frozenset(given.split()), middle, legal, broken == "1")
+
+
 _LEGAL_CUT = {w[:k]: short for w, short in (("company", "co"), ("corporation", "corp"), ("incorporated", "inc"), ("limited", "ltd")) for k in range(4, len(w))}
 _LEGAL_KIND = {"incorporated": "inc", "corporation": "corp", "company": "co", "limited": "ltd"}
 
