@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
-from tallyforge.functions import sqltext
 from tallyforge.operators import derive
+from tallyforge.plans import gate
 from tallyforge.session import table
 
 GRANT_WORDS = ["grant", "federal", "state", "shelter", "home ", "trust", "opioid", "special", "housing"]
@@ -364,7 +364,7 @@ def bridged(name: str, sql: str) -> None:
         for t in ("expenditures", "agency_map", "salary_data"):
             if t in sql:
                 table(spark, base, t).createOrReplaceTempView(t)
-        return spark.sql(sqltext.to_spark(sql))
+        return gate.ask(spark, sql)
 
     run.__name__ = name
     query(sql)(run)
@@ -378,3 +378,9 @@ bridged("sql_distinct_on", "SELECT DISTINCT ON (city, fund) city, fund, line_id
 bridged("sql_null_order", "SELECT line_id, rank() OVER (PARTITION BY city ORDER BY region, line_id) AS place FROM expenditures")
 bridged("sql_cte_union", "WITH a AS (SELECT city, sum(extended_amount) AS s FROM expenditures GROUP BY 1), b AS (SELECT city, sum(YTD_Total) AS s FROM salary_data GROUP BY ALL) SELECT city, 'ledger' AS kind, round(s * 100, 0) / 100 AS total FROM a UNION SELECT city, 'salaries', round(s * 100, 0) / 100 FROM b WHERE s > 0")
 bridged("sql_filter_having", "SELECT city, count(*) FILTER (WHERE extended_amount < 0) AS negatives, count(*) AS n FROM expenditures GROUP BY city HAVING n > 1")
+bridged("sql_quoted_names", 'SELECT "city", count(DISTINCT "Department") AS "Departments", max("YTD_Total") AS "top" FROM "salary_data" GROUP BY "city"')
+bridged("sql_nested_qualify", "SELECT city, count(*) AS n, sum(extended_amount) AS s FROM (SELECT city, extended_amount FROM expenditures WHERE extended_amount IS NOT NULL QUALIFY row_number() OVER (PARTITION BY city ORDER BY extended_amount DESC, line_id) <= 3) q GROUP BY city")
+bridged("sql_nested_distinct_on", "SELECT city, count(*) AS n FROM (SELECT DISTINCT ON (city, fund) city, fund, line_id FROM expenditures WHERE fund IS NOT NULL ORDER BY city, fund, line_id) q GROUP BY city")
+bridged("sql_alias_in_where", "SELECT line_id, fiscal_year - 2000 AS since FROM expenditures WHERE since > 20")
+bridged("sql_rename", "SELECT * RENAME (source AS typed, canonical AS listed) FROM agency_map")
+bridged("sql_except", "SELECT payee AS name FROM expenditures WHERE payee IS NOT NULL EXCEPT SELECT payee_canonical FROM expenditures")

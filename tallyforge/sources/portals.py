@@ -119,10 +119,16 @@ class _LayerReader(DataSourceReader):
         return [_Page(o, self.batch) for o in range(0, n, self.batch)] or [_Page(0, self.batch)]
 
     def read(self, partition):
-        page = http_fetch(f"{self.url}/query", {"where": "1=1", "outFields": "*", "resultOffset": partition.offset, "resultRecordCount": partition.size, "f": "json"})
-        for f in page.get("features", []):
-            a = f["attributes"]
-            yield tuple(a.get(c) for c in self.schema.names)
+        """All rows of the partition's range: a server may send fewer than asked for, so the offset follows what came."""
+        offset, end = partition.offset, partition.offset + partition.size
+        while offset < end:
+            page = http_fetch(f"{self.url}/query", {"where": "1=1", "outFields": "*", "resultOffset": offset, "resultRecordCount": end - offset, "f": "json"})
+            rows = [f["attributes"] for f in page.get("features", [])][: end - offset]
+            if not rows:
+                return
+            offset += len(rows)
+            for a in rows:
+                yield tuple(a.get(c) for c in self.schema.names)
 
 
 # ---- registry pages: choosing among search results, formatting officers ----

@@ -114,12 +114,25 @@ def test_year_context(spark):
     assert ask("yc_1")["salary_state"] == "single_year" and ask("yc_0")["salary_state"] == "no_years"
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE t", "CREATE TABLE x AS SELECT 1", "SET a=1", "INSERT INTO t VALUES (1)", "SELECT reflect('java.lang.System', 'exit')", "CACHE TABLE t"])
+@pytest.mark.parametrize("sql", ["DROP TABLE t", "CREATE TABLE x AS SELECT 1", "SET a=1", "INSERT INTO t VALUES (1)", "SELECT reflect('java.lang.System', 'exit')", "CACHE TABLE t", "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM parquet.`/tmp/x`", "SELECT 1 WHERE EXISTS (SELECT * FROM csv.`/etc/passwd`)", "WITH a AS (SELECT java_method('a', 'b')) SELECT * FROM a", "SELECT (SELECT max(v) FROM json.`/x`)", "SELECT input_file_name()", "SELECT * FROM no_such_table", "SELEC 1"])
 def test_gate_refuses(spark, sql):
     with pytest.raises(gate.Refused):
         gate.check(spark, sql)
 
 
+@pytest.mark.parametrize("sql", ["SELECT load, use FROM gate_w WHERE call IN (SELECT load FROM gate_w)", "WITH a AS (SELECT * FROM gate_w) SELECT * FROM a WHERE EXISTS (SELECT 1 FROM gate_w b WHERE b.load = a.load)", "SELECT * FROM range(3)", "SHOW TABLES", "DESCRIBE gate_w", "SELECT load FROM gate_w UNION SELECT x FROM (VALUES (1), (2)) AS q(x)"])
+def test_gate_lets_reading_pass(spark, sql):
+    spark.createDataFrame([(1, 2, 3)], "load int, use int, call int").createOrReplaceTempView("gate_w")
+    gate.check(spark, sql)
+
+
+def test_aliases_in_where_and_quoted_names(spark):
+    spark.createDataFrame([(1, "a"), (5, "b")], 'v int, `Odd Name` string').createOrReplaceTempView("gate_a")
+    assert [tuple(r) for r in gate.ask(spark, 'SELECT v + 1 AS w, "Odd Name" FROM gate_a WHERE w > 3 AND "Odd Name" <> \'w\'').collect()] == [(6, "b")]
+    assert [r[0] for r in gate.ask(spark, "SELECT v * 0 AS v FROM gate_a WHERE v > 3").collect()] == [0]  # a column goes before an alias
+    assert gate.ask(spark, "SELECT n FROM (SELECT v AS n FROM gate_a QUALIFY row_number() OVER (ORDER BY v DESC) = 1)").first()[0] == 5
+
+
 def test_gate_runs_and_rewrites(spark):
     spark.createDataFrame([("LOAD CO", "a", 1.0), ("b", "b", None), ("LOAD CO", "c", 3.0)], "payee string, payee_canonical string, amount double").createOrReplaceTempView("gate_t")
     r = gate.run(spark, "```sql\nSELECT payee, sum(amount) AS total_amount FROM gate_t WHERE payee = 'LOAD CO' GROUP BY payee\n```", {"payee": "payee_canonical"})

@@ -103,3 +103,20 @@ def test_portal_shapes():
     assert portals.best_entity([{"name": "x", "id": 1}, {"name": "Acme", "status": "Active", "id": 2}], "ACME")["id"] == 2
     assert portals.format_officers([{"title": "CEO", "name": "A"}, {"title": "CEO", "name": "A"}, {"name": "B"}]) == "CEO: A; B"
     assert portals.is_agent_service("Ct Corporation System") and not portals.is_agent_service(None)
+
+
+@pytest.mark.parametrize("cap", [1000, 700, 2000, 5000])
+def test_layer_source_reads_all_rows_whatever_the_page_cap(monkeypatch, cap):
+    from tallyforge.sources import portals as P
+
+    def server(url, params):
+        if params.get("returnCountOnly"):
+            return {"count": 2500}
+        first = params["resultOffset"]
+        last = min(2500, first + min(cap, params["resultRecordCount"]))
+        return {"features": [{"attributes": {"id": k}} for k in range(first, last)]}
+
+    monkeypatch.setattr(P, "http_fetch", server)
+    schema = type("S", (), {"names": ["id"]})()
+    reader = P._LayerReader({"url": "http://x/0/query", "batch": "2000"}, schema)
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == list(range(2500))
