@@ -57,14 +57,14 @@ def test_window_of_points():
     assert R.chart_window(pd.concat([ranked.head(30), frame([(None, 1.0)])]), R.Chart("bar", "label", "value"))[1] is None
 
 
-@pytest.mark.parametrize("label,is_total", [("TOTAL", True), ("Grand Total", True), ("TOTAL - ALL FUNDS", True), ("TOTAL ALL YEARS", True), ("SUBTOTAL", True), ("Overall total", True), ("TOTAL TOOL SUPPLY INC", True)])
+@pytest.mark.parametrize("label,is_total", [("TOTAL", True), ("Grand Total", True), ("TOTAL - ALL FUNDS", True), ("TOTAL ALL YEARS", True), ("SUBTOTAL", True), ("Overall total", True), ("TOTAL RENTALS OF BELVO INC", True), ("Total: all", True)])
 def test_totals_by_shape_or_value(label, is_total):
     assert bool(R.total_mask(frame([(label, 100.0), ("a", 60.0), ("b", 40.0)]), "label", "value").iloc[0]) is is_total
 
 
 def test_names_with_total_stay_and_totals_go_last():
-    assert not R.total_mask(frame([("TOTAL TOOL SUPPLY INC", 90.0), ("a", 60.0), ("b", 40.0)]), "label", "value").any()
-    assert not R.total_mask(frame([("TOTAL TOOL SUPPLY INC", 50.0), ("a", -30.0), ("b", -20.0)]), "label", "value").any()
+    assert not R.total_mask(frame([("TOTAL RENTALS OF BELVO INC", 90.0), ("a", 60.0), ("b", 40.0)]), "label", "value").any()
+    assert not R.total_mask(frame([("TOTAL RENTALS OF BELVO INC", 50.0), ("a", -30.0), ("b", -20.0)]), "label", "value").any()
     both = frame([("TOTAL - ALL", 100.0), ("SUBTOTAL", 50.0), ("a", 30.0), ("b", 20.0)])
     assert list(R.without_totals(both, "label", "value")["label"]) == ["a", "b"]
     moved, n = R.totals_last(both, "label", "value")
@@ -72,6 +72,17 @@ def test_names_with_total_stay_and_totals_go_last():
     assert R.totals_last(frame([("TOTAL - A", 1.0), ("TOTAL - B", 2.0)]), "label", "value")[1] == 0
 
 
+@pytest.mark.parametrize("label,told", [("total", True), ("GRAND  TOTAL", True), ("Total - x", True), ("Total–x", False), ("TOTAL SPENDING, 2020", True), ("TOTALS", False), ("NOT TOTAL", False), ("GRANDTOTAL", False), ("TOTALALL", False), ("", False)])
+def test_labels_of_totals(label, told):
+    assert R.says_total(label) is told
+
+
+def test_direction_of_an_axis():
+    s = lambda *x: pd.Series(x, dtype="object")
+    assert R.direction(s("2020-01", "2020-02")) == 1 and R.direction(s("2021", "2020", None)) == -1 and R.direction(pd.Series([1, 3, 2])) == 0
+    assert R.direction(s("May", "June")) is None and R.direction(s()) is None
+
+
 def test_display_order_and_notes():
     f = frame([("x", 1.0), ("y", 3.0), ("z", 2.0)])
     assert list(R.display_order(f, "SELECT label, value FROM t")["label"]) == ["y", "z", "x"]
