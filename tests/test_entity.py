@@ -87,4 +87,4 @@ def test_prompt(spark):
     cat.add("cli_t", spark.createDataFrame([("a", 1)], "s string, i int"))
     said = []
     cli.repl(spark, cat, ["schema", "sql SELECT * FROM cli_t", "DROP TABLE cli_t", "", "quit", "never"], said.append)
-    assert "cli_t(1 rows)" in said[0] and "a" in said[1] and said[2].startswith("error: blocked") and len(said) == 3
+    assert "cli_t(1 rows)" in said[0] and "a" in said[1] and said[2].startswith("error: not a query") and len(said) == 3
