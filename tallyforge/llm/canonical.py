@@ -263,42 +263,59 @@ class Chains:
                     self.trie.add(path, k, penalty)
         self.alphabet = {p[:1] for p in self.trie.children}
 
+    def scores(self, value) -> dict[str, float]:
+        """The labels within the allowed distance, with their least score."""
+        form = chain_form(value) if isinstance(value, str) else ""
+        best: dict[str, float] = {}
+        if len(form) >= 5:
+            for e, p, d in self.trie.search(form, min(2, allowed(len(form)))):
+                best[self.labels[e]] = min(d + p, best.get(self.labels[e], 9.0))
+        return best
+
     def label(self, value) -> str | None:
         """The one label within the allowed distance, or none."""
-        if not isinstance(value, str):
-            return None
-        form = chain_form(value)
-        if len(form) < 5:
-            return None
-        best: dict[int, float] = {}
-        for e, p, d in self.trie.search(form, min(2, allowed(len(form)))):
-            best[e] = min(d + p, best.get(e, 9.0))
-        if not best:
-            return None
-        low = min(best.values())
+        best = self.scores(value)
+        low = min(best.values(), default=None)
         won = [k for k, s in best.items() if s == low]
-        return self.labels[won[0]] if len(won) == 1 else None
+        return won[0] if len(won) == 1 else None
 
 
-def label_chains(lines: DataFrame, chains: DataFrame, *, id_col: str, value_col: str, prefix_col: str = "prefix", label_col: str = "canonical", max_prefixes: int = 100_000) -> DataFrame:
-    """(id, canonical) of every line whose value is a chain in any spelling.
+def prefix_parts(chains: DataFrame, prefix_col: str, label_col: str, max_prefixes: int) -> list[DataFrame]:
+    """The prefixes (p, c) in parts of about ``max_prefixes`` at most, by a hash of the prefix."""
+    known = chains.select(F.col(prefix_col).cast("string").alias("p"), F.col(label_col).cast("string").alias("c")).where("p IS NOT NULL AND c IS NOT NULL").distinct()
+    n = -(-known.count() // max(1, max_prefixes))
+    return [known] if n <= 1 else [known.where(F.pmod(F.xxhash64("p"), F.lit(n)) == k) for k in range(n)]
+
+
+def chain_labels(values: DataFrame, chains: DataFrame, prefix_col: str, label_col: str, max_prefixes: int) -> DataFrame:
+    """(value, canonical) of the distinct ``values`` (one column ``value``) that are a chain.
 
-    Values are searched once each; the prefixes are sent to the workers, at most ``max_prefixes`` of them (checked).
+    The prefixes are sent to the workers part by part; the least score over all parts wins, a tie of labels none.
     """
-    known = chains.select(F.col(prefix_col).cast("string").alias("p"), F.col(label_col).cast("string").alias("c")).where("p IS NOT NULL AND c IS NOT NULL").limit(max_prefixes + 1).collect()
-    if len(known) > max_prefixes:
-        raise ValueError(f"more than {max_prefixes} prefixes; search them in parts")
-    rows = [(r["p"], r["c"]) for r in known]
+    scored = None
+    for part in prefix_parts(chains, prefix_col, label_col, max_prefixes):
+        rows = sorted((r["p"], r["c"]) for r in part.collect())  # about max_prefixes of them
 
-    def run(frames):
-        import pandas as pd
+        def run(frames, rows=rows):
+            import pandas as pd
+
+            c = Chains(rows)
+            for pdf in frames:
+                yield pd.DataFrame([(v, lab, s) for v in pdf["value"] for lab, s in c.scores(v).items()], columns=["value", "label", "score"])
 
-        c = Chains(rows)
-        for pdf in frames:
-            out = [(v, lab) for v in pdf["value"] if (lab := c.label(v)) is not None]
-            yield pd.DataFrame(out, columns=["value", "canonical"])
+        found = values.mapInPandas(run, "value string, label string, score double")
+        scored = found if scored is None else scored.unionByName(found)
+    per = scored.groupBy("value", "label").agg(F.min("score").alias("score")).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("score", "label"))).alias("s"))
+    return per.where((F.size("s") == 1) | (F.col("s")[0]["score"] < F.get("s", F.lit(1))["score"])).select("value", F.col("s")[0]["label"].alias("canonical"))
 
+
+def label_chains(lines: DataFrame, chains: DataFrame, *, id_col: str, value_col: str, prefix_col: str = "prefix", label_col: str = "canonical", max_prefixes: int = 100_000) -> DataFrame:
+    """(id, canonical) of every line whose value is a chain in any spelling.
+
+    Values are searched once each; about ``max_prefixes`` prefixes at most are sent to the workers at once, more of them
+    in several parts.
+    """
     lines = lines.select(F.col(id_col).alias("id"), F.col(value_col).cast("string").alias("value")).where("value IS NOT NULL")
     n = max(2, 2 * lines.sparkSession.sparkContext.defaultParallelism)  # the search is Python work: spread it, however small the values are
-    labels = lines.select("value").distinct().repartition(n).mapInPandas(run, "value string, canonical string")
+    labels = chain_labels(lines.select("value").distinct().repartition(n), chains, prefix_col, label_col, max_prefixes)
     return lines.join(labels, "value").select(F.col("id").alias(id_col), "canonical")

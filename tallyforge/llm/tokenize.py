@@ -20,6 +20,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import spread
+
 #: Characters past its own end that the pre-tokenizer may look at for one match: two of a contraction, one of a look-ahead.
 LOOK_AHEAD = 3
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -152,7 +154,7 @@ def _encoder(path: str, leaf_chars: int) -> TreeEncoder:
 
 
 def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZER_DIR, leaf_chars: int = 1024, batch_chars: int = 4_000_000) -> DataFrame:
-    """(id, ids array<int>) of every row of ``docs``; one narrow pass, no shuffle.
+    """(id, ids array<int>) of every row of ``docs``; one narrow pass; only tables of fewer parts than cores are spread first.
 
     ``batch_chars`` bounds the text that is encoded at once in a worker; longer single texts go alone.
     """
@@ -174,4 +176,4 @@ def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k.json", *, id_col: s
                 a = b
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
